@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import packing, quality, simhash, suffix_dedup
 
 QUERIES = {
+    "op1_suffix_array_dedup": suffix_dedup.op1_suffix_array_dedup,
+    "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op6_quality_rules": quality.op6_quality_rules,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 
