@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import packing, quality, simhash, suffix_dedup
+from . import lm, packing, quality, simhash, suffix_dedup
 
 QUERIES = {
+    "op9_lm_scoring": lm.op9_lm_scoring,
     "op1_suffix_array_dedup": suffix_dedup.op1_suffix_array_dedup,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op6_quality_rules": quality.op6_quality_rules,
