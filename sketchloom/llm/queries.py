@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import lm, packing, quality, simhash, suffix_dedup
+from . import lm, packing, quality, simhash, suffix_dedup, token_counts, warc
 
 QUERIES = {
+    "op7_warc": warc.op7_warc,
+    "op8_token_counts": token_counts.op8_token_counts,
     "op9_lm_scoring": lm.op9_lm_scoring,
     "op1_suffix_array_dedup": suffix_dedup.op1_suffix_array_dedup,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
@@ -12,4 +14,6 @@ QUERIES = {
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_warc": warc.ORACLE,
+}
