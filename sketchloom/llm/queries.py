@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import lm, packing, quality, simhash, suffix_dedup, token_counts, warc
+from . import decontamination, licenses, lines, lm, packing, quality, simhash, suffix_dedup, token_counts, warc
 
 QUERIES = {
+    "op3_benchmark_decontamination": decontamination.op3_benchmark_decontamination,
+    "op4_license_scans": licenses.op4_license_scans,
+    "op5_line_dedup": lines.op5_line_dedup,
     "op7_warc": warc.op7_warc,
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_lm_scoring": lm.op9_lm_scoring,
@@ -15,5 +18,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_benchmark_decontamination": decontamination.ORACLE,
     "op7_warc": warc.ORACLE,
 }
