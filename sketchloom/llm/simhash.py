@@ -152,6 +152,12 @@ def simhash_components(docs: DataFrame, width: int = 4, seed: int = 42) -> DataF
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_first_of_group(docs: DataFrame) -> DataFrame:
+    """The documents of the smallest doc_id of their group; rows without a doc_id stay. Equal doc_ids are one document."""
+    keep = simhash_components(docs).filter("doc_id is null or doc_id = component_id").select("doc_id").distinct()
+    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
