@@ -14,10 +14,17 @@ class Item:
         return "e"
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Const:
     value: int | bool
 
+    def __eq__(self, other: object) -> bool:
+        # True and 1 are different constants: they read differently in a salt
+        return isinstance(other, Const) and type(other.value) is type(self.value) and other.value == self.value
+
+    def __hash__(self) -> int:
+        return hash((type(self.value), self.value))
+
     def text(self) -> str:
         return str(self.value)
 
