@@ -127,3 +127,34 @@ def role_entropy(roles: Column) -> Column:
 
 def flags_distance(a: list[Column], b: list[Column]) -> Column:
     return reduce(lambda x, y: x + y, ((p != q).cast("double") for p, q in zip(a, b)))
+
+
+def island_stats(pop: DataFrame) -> DataFrame:
+    """Per island: how many, least, median and greatest error, mean fitness and error."""
+    return pop.groupBy("island").agg(F.count(F.lit(1)).alias("n"), F.min("err").alias("min_err"), F.median("err").alias("median_err"), F.max("err").alias("max_err"), F.avg("fit").alias("avg_fit"), F.avg("err").alias("avg_err"))
+
+
+def unseen(programs: DataFrame, results: DataFrame, *keys: str) -> DataFrame:
+    """Programs that no stored result has under all of the keys, one of each: what is left to evaluate."""
+    new = programs.join(results.select(*keys).distinct(), list(keys), "left_anti")
+    order = W.partitionBy(*keys).orderBy("pid")
+    return new.withColumn("r", F.row_number().over(order)).filter("r = 1").drop("r")
+
+
+def blocked(candidates: DataFrame, failures: DataFrame, most: int) -> DataFrame:
+    """Candidates whose basin has failed fewer than `most` times."""
+    full = failures.groupBy("basin").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= most)
+    return candidates.join(full.select("basin"), "basin", "left_anti")
+
+
+def quota_trim(rows: list[dict], keep: int, family_quota: int, motif_quota: int) -> list[dict]:
+    """The best by score under quotas of families and motifs; places left go to the best of the rest. A small list:
+    each choice depends on those before it."""
+    order = sorted(rows, key=lambda r: (-r["score"], r.get("err", 0.0), str(r.get("key", ""))))
+    out, n = [], {}
+    for r in order:
+        f, m = ("family", r.get("family")), ("motif", r.get("motif"))
+        if len(out) < keep and n.get(f, 0) < family_quota and n.get(m, 0) < motif_quota:
+            out.append(r)
+            n[f], n[m] = n.get(f, 0) + 1, n.get(m, 0) + 1
+    return (out + [r for r in order if r not in out])[:keep]

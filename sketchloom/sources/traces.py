@@ -192,3 +192,23 @@ def write_results(df: DataFrame, path: str, manifest: dict | None = None) -> Non
     if manifest is not None:
         rows = [(json.dumps(manifest, sort_keys=True, default=str),)]
         df.sparkSession.createDataFrame(rows, "value string").coalesce(1).write.mode("append").text(f"{path}/manifest")
+
+
+def candidate_pool(rows: DataFrame, target: int, files: int, seed: int = 0) -> DataFrame:
+    """A wider seeded sample, from which proxies are made."""
+    share = max(1, -(-target // max(1, files)))
+    return take_per_file(rows, target, files, True, seed, window=max(share * 20_000, 80_000))
+
+
+def load_proxy(rows: DataFrame, mode: str, target: int, files: int, seed: int = 0, factor: int = 8, least_distinct: int = 0, retries: int = 5) -> DataFrame:
+    """A proxy stream from a pool of rows; of a few seeds the one with the most distinct items, ending when enough."""
+    best = None
+    for k in range(max(1, retries)):
+        pool = candidate_pool(rows, max(target * factor, 40_000), files, seed + k)
+        stream = proxy_stream(pool, mode, target, seed + k).cache()
+        u = stream.select(F.count_distinct("e")).first()[0]
+        if best is None or u > best[0]:
+            best = (u, stream)
+        if u >= min(least_distinct, target):
+            break
+    return best[1]
