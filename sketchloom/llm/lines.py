@@ -4,7 +4,9 @@ Only DataFrame functions run here. The shingles of a line are the SHINGLE charac
 over into the next words), so an edit changes one or two of them. A line's signature is its SIGNATURE least shingle
 hashes; its bands are the pairs of neighbours in that order. Two lines of similarity 0.8 share each of the least
 hashes of their union with a chance of 0.8, and a band wherever two in a row are shared: of 9 values, over 99 % of
-such pairs share a band."""
+such pairs share a band.
+
+A line is named by its place, doc_id * 2**27 + line number, so the least name of a component is its first line."""
 
 from __future__ import annotations
 
@@ -17,8 +19,11 @@ from .common import columns_or_null, connected_components, materialize
 SHINGLE, SIGNATURE, THRESHOLD = 12, 9, 0.8
 #: Lines with fewer distinct shingles are matched only as equal lines: at 0.8 their sets would have to be equal.
 LEAST_SHINGLES = 5
-#: Line ids (16 bytes each) that are broadcast at most to fetch lines for verification; more are joined by a shuffle.
+#: In a band, in an order of its own, a line is compared with so many before it, and with the first.
+NEIGHBOURS = 3
+#: Line places (8 bytes each) that are broadcast at most to fetch lines for verification; more are joined by a shuffle.
 BROADCAST_LINES = 500_000
+LINES = 1 << 27
 
 
 def shingle_hashes(line: str | Column) -> Column:
@@ -27,62 +32,65 @@ def shingle_hashes(line: str | Column) -> Column:
 
 def split_lines(docs: DataFrame) -> DataFrame:
     """doc_id, line_no (from 0) and line of all \\n-split lines; a null text has none."""
-    own = columns_or_null(docs, doc_id="long", text="string").filter("text is not null")
+    own = columns_or_null(docs, doc_id="long", text="string").filter("text is not null and doc_id is not null")
     return own.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-def with_id(lines: DataFrame) -> DataFrame:
-    """Lines with something in them, with a 128-bit id of their text as hi and lo."""
-    digest = F.md5("line")
-    ids = [F.conv(F.substring(digest, a, 15), 16, 10).cast("long") for a in (1, 17)]
-    return lines.filter(~blank(F.col("line"))).select("doc_id", "line_no", "line", ids[0].alias("hi"), ids[1].alias("lo"))
+def place(wide: bool) -> Column:
+    """doc_id and line_no in one number, of 64 bits unless ids are too large for it."""
+    return F.col("doc_id").cast("decimal(38,0)" if wide else "long") * F.lit(LINES) + F.col("line_no")
+
+
+def needs_wide(docs: DataFrame) -> bool:
+    r = docs.select(F.min(F.col("doc_id").cast("long")), F.max(F.col("doc_id").cast("long"))).first()
+    return any(x is not None and abs(x) >= 1 << 35 for x in r)
 
 
-def similar_pairs(distinct: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(u, v): verified links between distinct lines (node, doc_id, line_no, sig).
+def similar_pairs(distinct: DataFrame, docs: DataFrame, wide: bool, threshold: float = THRESHOLD) -> DataFrame:
+    """(u, v): verified links between distinct lines (node, n, b1, b2, ...).
 
-    In each band a line is compared with the first of the band and with its neighbour, in order of signature, so a band
-    of m lines makes at most 2 m pairs; a line meets others in up to SIGNATURE - 1 bands."""
-    sig = F.col("sig")
-    bands = distinct.filter(F.size(sig) > 1).select(
-        "node", "doc_id", "line_no", "n",
-        F.explode(F.transform(F.sequence(F.lit(1), F.size(sig) - 1), lambda i: F.xxhash64(F.element_at(sig, i), F.element_at(sig, i + 1)))).alias("band"),
-    )
-    w = W.partitionBy("band").orderBy("n", "node")
-    line = F.struct("node", "doc_id", "line_no", "n")
-    met = bands.select(line.alias("a"), F.first(line).over(w).alias("b"), F.lag(line).over(w).alias("c"))
-    pairs = met.filter("c is not null").select("a", F.explode(F.array_distinct(F.array("b", "c"))).alias("b"))
+    A line makes at most NEIGHBOURS + 1 pairs in each of its bands, whatever their sizes."""
+    names = [f"b{i}" for i in range(1, SIGNATURE)]
+    bands = distinct.filter("b1 is not null").select("node", "n", F.explode(F.array_compact(F.array(*names))).alias("band"))
+    w = W.partitionBy("band").orderBy(F.xxhash64("node", "band"), "node")
+    line = F.struct("node", "n")
+    met = [F.first(line).over(w), *(F.lag(line, k).over(w) for k in range(1, NEIGHBOURS + 1))]
+    pairs = bands.select("node", "n", F.array(*met).alias("met")).filter(F.col("met")[1].isNotNull())
+    pairs = pairs.select("node", "n", F.explode("met").alias("o")).select(F.col("node").alias("u"), F.col("o.node").alias("v"), "n", F.col("o.n").alias("m"))
     # sets of sizes too far apart cannot be similar enough
-    sized = pairs.filter((F.col("b.n") >= F.lit(threshold) * F.col("a.n")) & (F.col("a.n") >= F.lit(threshold) * F.col("b.n")))
-    sized = materialize(sized.distinct(), "line-pairs")
-    needed = sized.select("a.doc_id", "a.line_no").union(sized.select("b.doc_id", "b.line_no")).distinct()
-    needed = materialize(needed, "line-needed")
+    sized = pairs.filter((F.col("u") != F.col("v")) & (F.col("m") >= F.lit(threshold) * F.col("n")) & (F.col("n") >= F.lit(threshold) * F.col("m")))
+    sized = sized.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    sized = materialize(sized, "line-pairs")
+    needed = materialize(sized.select("u").union(sized.select("v")).distinct().withColumnRenamed("u", "node"), "line-needed")
     if needed.count() <= BROADCAST_LINES:
         needed = F.broadcast(needed)
-    sets = split_lines(docs).join(needed, ["doc_id", "line_no"]).select("doc_id", "line_no", shingle_hashes("line").alias("set"))
-    sets = materialize(sets.dropDuplicates(["doc_id", "line_no"]), "line-sets")
-    a, b = (sets.select(F.col("doc_id").alias(f"{x}d"), F.col("line_no").alias(f"{x}l"), F.col("set").alias(f"{x}s")) for x in "ab")
-    flat = sized.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), F.col("a.doc_id").alias("ad"), F.col("a.line_no").alias("al"), F.col("b.doc_id").alias("bd"), F.col("b.line_no").alias("bl"))
-    both = flat.join(a, ["ad", "al"]).join(b, ["bd", "bl"])
-    shared = F.size(F.array_intersect("as", "bs"))
-    alike = shared >= F.lit(threshold) * (F.size("as") + F.size("bs") - shared) - 1e-9
-    return both.filter(alike).select("u", "v").distinct()
+    lines = split_lines(docs).filter(F.col("line_no") < LINES).select(place(wide).alias("node"), "line")
+    sets = lines.join(needed, "node").select("node", shingle_hashes("line").alias("set"))
+    sets = materialize(sets.dropDuplicates(["node"]), "line-sets")
+    a, b = (sets.select(F.col("node").alias(x), F.col("set").alias(f"{x}_set")) for x in "uv")
+    shared = F.size(F.array_intersect("u_set", "v_set"))
+    alike = shared >= F.lit(threshold) * (F.size("u_set") + F.size("v_set") - shared) - 1e-9
+    return sized.join(a, "u").join(b, "v").filter(alike).select("u", "v")
 
 
 def kept_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, line_no) of the lines that stay: the first of each component of equal or similar lines, by doc_id, then
-    line number. Lines of white space only are outside the comparison and stay; they are not listed here."""
-    marked = with_id(split_lines(docs))
-    hashes = marked.select("doc_id", "line_no", "hi", "lo", F.sort_array(shingle_hashes("line")).alias("h"))
-    sig = F.when(F.size("h") >= LEAST_SHINGLES, F.slice("h", 1, SIGNATURE)).otherwise(F.array().cast("array<long>"))
-    hashes = hashes.select("doc_id", "line_no", "hi", "lo", sig.alias("sig"), F.size("h").alias("n"))
-    first = F.min(F.struct("doc_id", "line_no", "sig", "n")).alias("r")
-    distinct = hashes.groupBy("hi", "lo").agg(first).select(F.struct("hi", "lo").alias("node"), "r.doc_id", "r.line_no", "r.sig", "r.n")
+    line number. Lines of white space only are outside the comparison and stay; they are not listed here. Of a text of
+    more than LINES lines, those beyond stay too."""
+    wide = needs_wide(docs)
+    every = split_lines(docs).filter(~blank(F.col("line")) & (F.col("line_no") < LINES))
+    marked = every.select(F.md5("line").alias("digest"), place(wide).alias("node"), F.sort_array(shingle_hashes("line")).alias("h"))
+    size, enough = F.size("h"), F.size("h") >= LEAST_SHINGLES
+    bands = [F.when(enough & (size > i), F.xxhash64(F.get("h", F.lit(i - 1)), F.get("h", F.lit(i)))) for i in range(1, SIGNATURE)]
+    flat = marked.select("digest", "node", size.alias("n"), *(b.alias(f"b{i}") for i, b in enumerate(bands, 1)))
+    # equal lines have equal bands, so the least of each is that of all, in numbers that hash aggregation holds
+    distinct = flat.groupBy("digest").agg(*(F.min(c).alias(c) for c in flat.columns[1:])).drop("digest")
     distinct = materialize(distinct, "lines")
-    links = materialize(similar_pairs(distinct, docs, threshold), "line-links")
-    roots = connected_components(links, "line-components")
-    merged = distinct.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), F.struct("doc_id", "line_no").alias("at"))
-    return merged.groupBy("root").agg(F.min("at").alias("at")).select("at.doc_id", "at.line_no")
+    links = materialize(similar_pairs(distinct, docs, wide, threshold), "line-links")
+    later = connected_components(links, "line-components").filter("node <> root").select("node")
+    first = distinct.select("node").join(later, "node", "left_anti")
+    doc = F.floor(F.col("node") / F.lit(LINES)).cast("long") if wide else F.shiftright("node", 27)
+    return first.select(doc.alias("doc_id"), F.pmod("node", F.lit(LINES)).cast("int").alias("line_no"))
 
 
 def blank(line: Column) -> Column:
@@ -90,10 +98,10 @@ def blank(line: Column) -> Column:
 
 
 def line_decisions(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, n_lines (with more than white space) and removed, the numbers of the lines that go; a row per document."""
+    """doc_id, n_lines (those compared) and removed, the numbers of the lines that go; a row per document."""
     keep = materialize(kept_lines(docs, threshold), "line-kept").groupBy("doc_id").agg(F.collect_list("line_no").alias("kept"))
     own = columns_or_null(docs, doc_id="long", text="string")
-    numbered = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line, i: F.when(~blank(line), i))
+    numbered = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line, i: F.when(~blank(line) & (i < LINES), i))
     own = own.select("doc_id", F.array_compact(numbered).alias("lines"))
     none = F.array().cast("array<int>")
     gone = F.when(F.col("doc_id").isNull(), none).otherwise(F.array_except("lines", F.coalesce("kept", none)))
