@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .evaluate import Workload, evaluate_programs
 from .functions import scalars as S
 from .operators import cases as C
 from .operators import metrics as M
@@ -15,11 +17,13 @@ from .operators.sketch import addresses, build_cells, estimates, fold_cells, mer
 from .plans import sqltext as Q
 from .plans.analyze import MECHANISM_PROGRAMS, motif
 from .plans.grammar import BUSY, MAIN
-from .plans.program import Program
 from .plans.lower import Lowering
+from .plans.program import Program
+from .search.islands import Config, champions, holdout, search
 from .sources import candidates as K
 from .sources import traces as T
 from .sources.candidates import SAFE
+from .streaming.ingest import streaming_cells, windowed_cells
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -643,3 +647,48 @@ def motif_distance(spark, sf):
     names = [f"m{k}" for k in range(len(flat[0]) - 1)]
     df = spark.createDataFrame(flat, ["pid", *names])
     return df.select("pid", P.flags_distance([F.col(n) for n in names], [F.lit(v) for v in flat[0][1:]]).alias("distance"))
+
+
+# ---- evaluation, search, streaming -----------------------------------------------------------------------------------
+
+
+def _workload(spark, sf) -> Workload:
+    """Evaluation streams are bounded by their definition: the first 3,000 orders."""
+    return Workload.of([r.e for r in orders(spark, sf).orderBy("seq").limit(3_000).select("e").collect()], absent=16)
+
+
+@query()
+def evaluate_candidates(spark, sf):
+    """Fitness, error, penalty, case vector and fingerprint of each program over three cumulative stages."""
+    programs = K.program_table(spark, [K.Candidate(Program.parse(*t)) for t in _TEXTS])
+    return evaluate_programs(programs, _workload(spark, sf))
+
+
+@query()
+def search_champions(spark, sf):
+    """A short island search on the evaluation stream; its champions with held-out errors."""
+    w = _workload(spark, sf)
+    held = Workload([s[::-1] for s in w.stages], w.absent)
+    found = holdout(champions(search(spark, w, Config(population=6, islands=2, rounds=1, children=4, seed=1)), 3), held)
+    return spark.createDataFrame([(*m.texts, m.fit, m.err, h) for m, h in found], "init_dex string, update string, query string, fit double, err double, holdout_err double")
+
+
+@query(cells_sql(salted(), "users_s") + " SELECT z, x, y, cnt, ovf FROM c")
+def cells_streaming(spark, sf):
+    """The cells of a stream read by Structured Streaming until nothing is left."""
+    path = f"{sf}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    live = spark.readStream.schema(schema).parquet(f"{path[:-3]}*").select(F.col("user_id").cast("string").alias("e")).filter("e is not null")
+    name = f"cells_{uuid.uuid4().hex}"
+    q = streaming_cells(live, salted()).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)
+
+
+@query(f"""WITH u AS (SELECT CAST(user_id AS VARCHAR) AS e, time_bucket(INTERVAL '7 days', ts, TIMESTAMP '1970-01-01') AS start FROM events),
+a AS ({Q.addresses_sql(salted(), "(SELECT DISTINCT e FROM u) k")}) SELECT start, z, x, y, count(*) AS cnt FROM u JOIN a USING (e) GROUP BY start, z, x, y""")
+def cells_windowed(spark, sf):
+    """An extension: cells of each week of event time."""
+    t = table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("e"))
+    w = windowed_cells(t, salted(), "ts", "7 days", "1 day")
+    return w.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "z", "x", "y", "cnt")

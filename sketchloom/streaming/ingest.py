@@ -35,7 +35,7 @@ def windowed_cells(stream: DataFrame, program: Program, ts: str, width: str, lat
     keys = list(dict.fromkeys(e.key for es in plan.effects.values() for e in es))
     rows = [F.struct(F.lit(z).alias("z"), F.col(f"x{keys.index(e.key)}_{z}").alias("x"), F.col(f"y{keys.index(e.key)}_{z}").alias("y"), F.lit(int(e.value.value)).cast("long").alias("d")) for z, es in plan.effects.items() for e in es]
     each = placed.select(F.window(ts, width, slide).alias("window"), F.explode(F.array(*rows)).alias("r"))
-    return each.groupBy("window", "r.z", "r.x", "r.y").agg(F.sum("d").alias("cnt"))
+    return each.groupBy("window", "r.z", "r.x", "r.y").agg(F.sum("r.d").alias("cnt"))
 
 
 def streaming_fold(stream: DataFrame, program: Program, sketch: str | Column, order: str) -> DataFrame:
