@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from .common import columns_or_null, expand, materialize_bucketed, pack, shuffle_partitions, squeeze, text_groups, unpack
 
-#: Bytes of text in a chunk. A longer text is a chunk of its own.
-CHUNK = 8 << 20
+#: Bytes of text in a chunk. A longer text is a chunk of its own. A pass sends a row per chunk and bucket, so larger
+#: executors do well with larger chunks; at 1 MB a pass over a chunk takes some 100 MB of a worker.
+CHUNK = 1 << 20
 SCHEMA = "chunk long, ids binary, lens binary, data binary"
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import ctypes
 import os
 import tempfile
 import uuid
@@ -9,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,8 +30,28 @@ def shared_dir(spark: SparkSession) -> str:
     return conf.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder. Results may be read from it as long as this process lives; then it is removed."""
+    if not _made:
+        atexit.register(remove_made)
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+
+
+def remove_made() -> None:
+    while _made:
+        try:
+            fs, path = open_fs(_made.pop())
+            fs.delete_dir(path)
+        except (OSError, pa.ArrowException):
+            continue  # not written, or gone already
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -97,6 +120,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def trim() -> None:
+    """Give freed memory back to the system, so that a worker's size follows what it holds."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 # ---- batches -------------------------------------------------------------------------------------------------------
 
 
@@ -116,13 +148,15 @@ def text_groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[
     """Rows (doc_id, text as binary) gathered to about `most` bytes: ids (null: NULL_ID) and texts (null: empty)."""
     ids, texts, size = [], [], 0
     for b in batches:
-        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            ids.append(NULL_ID if i is None else i)
-            texts.append(t or b"")
-            size += len(texts[-1]) + 16
-            if size >= most:
-                yield np.array(ids, np.int64), texts
-                ids, texts, size = [], [], 0
+        for at in range(0, b.num_rows, 256):
+            part = b.slice(at, 256)
+            for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                ids.append(NULL_ID if i is None else i)
+                texts.append(t or b"")
+                size += len(texts[-1]) + 16
+                if size >= most:
+                    yield np.array(ids, np.int64), texts
+                    ids, texts, size = [], [], 0
     if ids:
         yield np.array(ids, np.int64), texts
 
@@ -138,13 +172,16 @@ def bucketed(df: DataFrame, key: str, reduce: Callable, schema: str) -> DataFram
             if held and row[key] != now:
                 yield from reduce(now, held)
                 held = []
+                trim()
             now = row[key]
             held.append(row)
         if held:
             yield from reduce(now, held)
 
     n = shuffle_partitions(df.sparkSession)
-    return df.repartition(n, key).sortWithinPartitions(key).mapInArrow(run, schema)
+    # buckets are numbers below n: each is a partition of its own
+    dealt = df.repartitionById(n, F.col(key).cast("int")) if key == "bucket" else df.repartition(n, key)
+    return dealt.sortWithinPartitions(key).mapInArrow(run, schema)
 
 
 # ---- components ----------------------------------------------------------------------------------------------------

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import CHUNK, chunk_numbers, with_replies
-from .common import NULL_ID, batch_rows, bucket_cuts, bucketed, columns_or_null, materialize, materialize_bucketed, mix, pack, shuffle_partitions, text_groups, unpack
+from .common import NULL_ID, batch_rows, bucket_cuts, bucketed, columns_or_null, materialize, materialize_bucketed, mix, pack, shuffle_partitions, text_groups, trim, unpack
 
 #: doc_ids whose crc32 modulo FOLDS is TEST are scored only; those of fold DELETED are held out while weights are learned.
 FOLDS, TEST, DELETED = 7, 2, 3
@@ -82,9 +82,10 @@ REPLY = "chunk long, bucket long, train binary, deleted binary, n_train long, v_
 def sent(chunk: int, keys: np.ndarray, train: np.ndarray, deleted: np.ndarray, buckets: int):
     """What a chunk sends: its sorted keys and their counts, by bucket of key range."""
     cuts = bucket_cuts(keys, buckets).tolist()
-    for b, (i, j) in enumerate(zip(cuts, cuts[1:])):
-        if j > i:
-            yield pa.RecordBatch.from_pylist([{"bucket": b, "chunk": chunk, "keys": pack(keys[i:j], delta=True), "train": pack(train[i:j].astype(np.uint32)), "deleted": pack(deleted[i:j].astype(np.uint32))}])
+    out = [{"bucket": b, "chunk": chunk, "keys": pack(keys[i:j], delta=True), "train": pack(train[i:j].astype(np.uint32)), "deleted": pack(deleted[i:j].astype(np.uint32))} for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i]
+    if out:
+        yield pa.RecordBatch.from_pylist(out)
+    trim()
 
 
 def _count(bucket: int, rows: list[dict]):
@@ -93,10 +94,11 @@ def _count(bucket: int, rows: list[dict]):
     distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
     sums = [np.bincount(where, np.concatenate([unpack(r[c], np.uint32) for r in rows]), len(distinct)).astype(np.uint64) for c in ("train", "deleted")]
     total, cut = sums
-    cuts = np.cumsum([len(k) for k in keys])[:-1]
+    cuts, out, none = np.cumsum([len(k) for k in keys])[:-1], [], dict.fromkeys(("n_train", "v_train", "n_deleted", "v_kept"), 0)
+    told = {"n_train": int(total.sum()), "v_train": int((total > 0).sum()), "n_deleted": int(cut.sum()), "v_kept": int((total > cut).sum())}
     for i, (r, w) in enumerate(zip(rows, np.split(where, cuts))):
-        told = {"n_train": int(total.sum()), "v_train": int((total > 0).sum()), "n_deleted": int(cut.sum()), "v_kept": int((total > cut).sum())} if i == 0 else dict.fromkeys(("n_train", "v_train", "n_deleted", "v_kept"), 0)
-        yield pa.RecordBatch.from_pylist([{"chunk": r["chunk"], "bucket": bucket, "train": pack(total[w]), "deleted": pack(cut[w])} | told])
+        out.append({"chunk": r["chunk"], "bucket": bucket, "train": pack(total[w]), "deleted": pack(cut[w])} | (none if i else told))
+    yield pa.RecordBatch.from_pylist(out)
 
 
 def replied(rows: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .chunks import CHUNK, open_chunk, text_chunks, with_replies
-from .common import NULL_ID, batch_rows, bucket_cuts, bucketed, expand, materialize, mix, pack, shuffle_partitions, squeeze, unpack
+from .common import NULL_ID, batch_rows, bucket_cuts, bucketed, expand, materialize, mix, pack, shuffle_partitions, squeeze, trim, unpack
 
 LENGTH, GRAM = 50, 20
 BLOCK = 1 << 17
@@ -85,7 +85,8 @@ def records(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tupl
                 if not len(todo):
                     break
             upto = np.minimum(last, at)
-            for o, x in zip(out, (value, first + a, upto + a)):
+            # least hashes are small numbers: scrambled again, they spread evenly over buckets
+            for o, x in zip(out, (mix(value), first + a, upto + a)):
                 o.append(x)
             more = at < last
             if not more.any():
@@ -156,10 +157,17 @@ def _name_grams(bucket: int, rows: list[dict]):
     """Reply to each chunk which of its grams two doc_ids share, in whatever chunks."""
     keys = [unpack(r["keys"], np.uint64, delta=True) for r in rows]
     flags = np.concatenate([np.unpackbits(np.frombuffer(r["flags"], np.uint8), count=len(k)) for r, k in zip(rows, keys)])
-    _, where, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-    named = (count > 1) | (np.bincount(where, flags, len(count)) > 0)
-    for r, part in zip(rows, np.split(named[where], np.cumsum([len(k) for k in keys])[:-1])):
-        yield pa.RecordBatch.from_pylist([{"chunk": r["chunk"], "bucket": bucket, "bits": np.packbits(part).tobytes(), "n": len(part)}])
+    every = np.concatenate(keys)
+    order = np.argsort(every, kind="stable")
+    every = every[order]
+    new = np.r_[True, every[1:] != every[:-1]]
+    del every
+    starts = np.flatnonzero(new)
+    several = (np.diff(np.r_[starts, len(new)]) > 1) | (np.add.reduceat(flags[order], starts, dtype=np.int32) > 0)
+    named = np.empty(len(new), bool)
+    named[order] = np.repeat(several, np.diff(np.r_[starts, len(new)]))
+    out = [{"chunk": r["chunk"], "bucket": bucket, "bits": np.packbits(part).tobytes(), "n": len(part)} for r, part in zip(rows, np.split(named, np.cumsum([len(k) for k in keys])[:-1]))]
+    yield pa.RecordBatch.from_pylist(out)
 
 
 def least_by_window(gram: np.ndarray, size: np.ndarray, text: np.ndarray, least: np.ndarray, length: int) -> np.ndarray:
@@ -171,12 +179,12 @@ def least_by_window(gram: np.ndarray, size: np.ndarray, text: np.ndarray, least:
     count = n_windows[mixed]
     row = np.repeat(mixed, count)
     at = np.arange(len(row)) - np.repeat(np.r_[0, np.cumsum(count)[:-1]], count) if len(row) else np.empty(0, np.int64)
-    group = group[row]
+    group, flat, wide = group[row], text.ravel(), text.shape[1]
     for depth in range(0, length, 8):
         # one digit: the next eight bytes of each window that is not alone yet
         width = min(8, length - depth)
         digit = np.zeros((len(row), 8), np.uint8)
-        digit[:, :width] = text[row[:, None], at[:, None] + np.arange(depth, depth + width)]
+        digit[:, :width] = flat[(row * wide + at + depth).astype(np.int32)[:, None] + np.arange(width, dtype=np.int32)]
         order, starts, group = _dense(group, digit.view(np.uint64).ravel())
         alone = np.bincount(group, minlength=len(starts))[group] < 2
         row, at, group = row[~alone], at[~alone], group[~alone]
@@ -186,26 +194,44 @@ def least_by_window(gram: np.ndarray, size: np.ndarray, text: np.ndarray, least:
     return found
 
 
+#: Stretches of one bucket that are compared at a time; all stretches of a gram stay together.
+SLICE = 8_000
+
+
 def _name_windows(length: int):
     def reduce(bucket: int, rows: list[dict]):
         gram = np.concatenate([unpack(r["keys"], np.uint64, delta=True) for r in rows])
-        sizes = [unpack(r["sizes"], np.uint8).astype(np.int64) + length for r in rows]
-        size, own = np.concatenate(sizes), np.concatenate([unpack(r["ids"], np.int64) for r in rows])
+        sizes = [unpack(r["sizes"], np.uint8) for r in rows]
+        n_windows, own = np.concatenate(sizes).astype(np.int64) + 1, np.concatenate([unpack(r["ids"], np.int64) for r in rows])
+        raw = np.frombuffer(b"".join(expand(r["text"]) for r in rows), np.uint8)
+        size = n_windows + length - 1
+        start = np.cumsum(size) - size
         wide = 2 * length - GRAM
         wide += -wide % 8
-        text = np.zeros((len(size), wide), np.uint8)
-        text[np.arange(wide) < size[:, None]] = np.frombuffer(b"".join(expand(r["text"]) for r in rows), np.uint8)
-        order, starts, group = _dense(gram, size, *text.view(np.uint64).T)
-        head = order[starts]
-        least = np.minimum.reduceat(own[order], starts)
-        found = least_by_window(gram[head], size[head], text[head], least, length)
-        before = found[group] < own[:, None]
-        real = np.arange(before.shape[1]) < (size - length + 1)[:, None]
-        i = 0
+        before = np.zeros((len(gram), int(n_windows.max())), bool)
+        by_gram = np.argsort(gram, kind="stable")
+        edge = np.flatnonzero(np.diff(gram[by_gram])) + 1
+        cuts = [0]
+        while cuts[-1] < len(gram):
+            k = np.searchsorted(edge, cuts[-1] + SLICE)
+            cuts.append(int(edge[k]) if k < len(edge) else len(gram))
+        for i, j in zip(cuts, cuts[1:]):
+            of = by_gram[i:j]
+            inside = np.arange(wide) < size[of, None]
+            text = np.zeros((len(of), wide), np.uint8)
+            text[inside] = raw[(start[of, None] + np.arange(wide))[inside]]
+            order, starts, group = _dense(gram[of], size[of], *text.view(np.uint64).T)
+            head = order[starts]
+            least = np.minimum.reduceat(own[of][order], starts)
+            found = least_by_window(gram[of][head], size[of][head], text[head], least, length)
+            before[of, : found.shape[1]] = found[group] < own[of, None]
+        real = np.arange(before.shape[1]) < n_windows[:, None]
+        i, out = 0, []
         for r, s in zip(rows, sizes):
             bits = before[i : i + len(s)][real[i : i + len(s)]]
             i += len(s)
-            yield pa.RecordBatch.from_pylist([{"chunk": r["chunk"], "bucket": bucket, "bits": np.packbits(bits).tobytes(), "n": len(bits)}])
+            out.append({"chunk": r["chunk"], "bucket": bucket, "bits": np.packbits(bits).tobytes(), "n": len(bits)})
+        yield pa.RecordBatch.from_pylist(out)
 
     return reduce
 
@@ -230,9 +256,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = Fals
         for row in batch_rows(batches):
             s = Stretches(row, length)
             cuts, flags = bucket_cuts(s.keys, buckets).tolist(), s.shared()
-            for b, (i, j) in enumerate(zip(cuts, cuts[1:])):
-                if j > i:
-                    yield pa.RecordBatch.from_pylist([{"bucket": b, "chunk": row["chunk"], "keys": pack(s.keys[i:j], delta=True), "flags": np.packbits(flags[i:j]).tobytes()}])
+            out = [{"bucket": b, "chunk": row["chunk"], "keys": pack(s.keys[i:j], delta=True), "flags": np.packbits(flags[i:j]).tobytes()} for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i]
+            if out:
+                yield pa.RecordBatch.from_pylist(out)
+            del s, flags
+            trim()
 
     grams = chunks.mapInArrow(send_grams, "bucket long, chunk long, keys binary, flags binary")
     named = materialize(bucketed(grams, "bucket", _name_grams, REPLY), "repeats-grams")
@@ -241,11 +269,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = Fals
         for row in batch_rows(batches):
             s = Stretches(row, length)
             s.choose(row["r0"])
-            cuts = bucket_cuts(s.u_gram, buckets).tolist()
+            cuts, out = bucket_cuts(s.u_gram, buckets).tolist(), []
             for b, (i, j) in enumerate(zip(cuts, cuts[1:])):
                 if j > i:
                     text = s.u_text[i:j][np.arange(s.u_text.shape[1]) < s.u_size[i:j, None]]
-                    yield pa.RecordBatch.from_pylist([{"bucket": b, "chunk": row["chunk"], "keys": pack(s.u_gram[i:j], delta=True), "sizes": pack((s.u_size[i:j] - length).astype(np.uint8)), "ids": pack(s.u_least[i:j]), "text": squeeze(text.tobytes(), 3)}])
+                    out.append({"bucket": b, "chunk": row["chunk"], "keys": pack(s.u_gram[i:j], delta=True), "sizes": pack((s.u_size[i:j] - length).astype(np.uint8)), "ids": pack(s.u_least[i:j]), "text": squeeze(text.tobytes(), 3)})
+            if out:
+                yield pa.RecordBatch.from_pylist(out)
+            del s
+            trim()
 
     stretches = with_replies(chunks, named).mapInArrow(send_stretches, "bucket long, chunk long, keys binary, sizes binary, ids binary, text binary")
     repeated = materialize(bucketed(stretches, "bucket", _name_windows(length), REPLY), "repeats-windows")
@@ -256,29 +288,33 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = Fals
             s.choose(row["r0"])
             bits = np.concatenate([np.zeros(0, bool), *(np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=r["n"]).astype(bool) for r in row["r1"] or [])])
             count = s.u_size - length + 1
-            start = np.r_[0, np.cumsum(count)]
-            n = s.last - s.first + 1
-            window = np.repeat(s.first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(n) else np.empty(0, np.int64)
-            bit = np.repeat(start[s.group] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(n) else np.empty(0, np.int64)
-            later = np.repeat(s.ids[s.doc] > s.u_least[s.group], n)
-            cut = window[bits[bit] | later] if len(n) else window
+            start = np.cumsum(count) - count
+            later = s.ids[s.doc] > s.u_least[s.group]
             step = np.zeros(len(s.data) + 1, np.int32)
-            step[cut] += 1
-            np.subtract.at(step, cut + length, 1)
+            for i in range(0, len(s.first), 1 << 15):
+                # the windows of some records, and the reply's bit for each
+                first, group = s.first[i : i + (1 << 15)], s.group[i : i + (1 << 15)]
+                n = s.last[i : i + (1 << 15)] - first + 1
+                inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                cut = np.repeat(first, n) + inner
+                cut = cut[bits[np.repeat(start[group], n) + inner] | np.repeat(later[i : i + (1 << 15)], n)]
+                step[cut] += 1
+                np.subtract.at(step, cut + length, 1)
             gone = np.cumsum(step[:-1]) > 0
-            total = np.r_[0, np.cumsum(gone)]
+            total = np.r_[0, np.cumsum(gone, dtype=np.int32)]
             begin = gone.copy()
             begin[1:] &= ~gone[:-1]
             inner = s.offsets[:-1][s.offsets[:-1] < len(gone)]
             begin[inner] = gone[inner]
-            spans = np.r_[0, np.cumsum(begin)]
+            spans = np.r_[0, np.cumsum(begin, dtype=np.int32)]
             a, b = s.offsets[:-1], s.offsets[1:]
             kept = [s.data[i:j][~gone[i:j]].tobytes() if total[j] > total[i] else s.data[i:j].tobytes() for i, j in zip(a.tolist(), b.tolist())]
-            cols = [pa.array(s.ids, mask=s.ids == NULL_ID), pa.array(b - a), pa.array(total[b] - total[a]), pa.array(spans[b] - spans[a]), pa.array([hashlib.sha256(k).hexdigest() for k in kept])]
+            cols = [pa.array(s.ids, mask=s.ids == NULL_ID), pa.array(b - a), *(pa.array((x[b] - x[a]).astype(np.int64)) for x in (total, spans)), pa.array([hashlib.sha256(k).hexdigest() for k in kept])]
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             if keep_text:
                 cols, names = [*cols, pa.array(kept, pa.binary())], [*names, "kept"]
             yield pa.RecordBatch.from_arrays(cols, names)
+            trim()
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
     return with_replies(chunks, named, repeated).mapInArrow(finish, schema)

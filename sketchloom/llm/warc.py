@@ -14,12 +14,11 @@ from bisect import bisect_right
 from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_rows, bucketed, fresh_path, materialize, shuffle_partitions
+from .common import batch_rows, bucketed, fresh_path, materialize, open_fs, shuffle_partitions
 
 #: Payloads below so many bytes are stored each time.
 LEAST = 100
@@ -30,10 +29,6 @@ BLOCK, MOST_BLOCKS = 2_000, 50_000
 ENTRY = "key string, page_id long, file string, offset long, length long"
 
 
-def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
-
-
 def reversed_host(url: str) -> str:
     """com,example,www)/path?query: captures of a domain and its hosts stand together. An unreadable URL is kept as it is."""
     try:
