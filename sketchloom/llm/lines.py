@@ -6,10 +6,15 @@ hashes; its bands are the pairs of neighbours in that order. Two lines of simila
 hashes of their union with a chance of 0.8, and a band wherever two in a row are shared: of 9 values, over 99 % of
 such pairs share a band.
 
+In each band a line is compared with a few others, which joins large groups of similar lines at a cost linear in the
+band. Bands that are then still in several components are compared in full across these, by prefix filters.
+
 A line is named by its place, doc_id * 2**27 + line number, so the least name of a component is its first line."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,8 +24,10 @@ from .common import columns_or_null, connected_components, materialize
 SHINGLE, SIGNATURE, THRESHOLD = 12, 9, 0.8
 #: Lines with fewer distinct shingles are matched only as equal lines: at 0.8 their sets would have to be equal.
 LEAST_SHINGLES = 5
-#: In a band, in an order of its own, a line is compared with so many before it, and with the first.
+#: In a band, in an order of its own, a line is first compared with so many before it, and with the first.
 NEIGHBOURS = 3
+#: Where that leaves a band in several components, prefixes are taken by classes of set sizes, each so much wider.
+CLASS = 1.02
 #: Line places (8 bytes each) that are broadcast at most to fetch lines for verification; more are joined by a shuffle.
 BROADCAST_LINES = 500_000
 LINES = 1 << 27
@@ -46,31 +53,108 @@ def needs_wide(docs: DataFrame) -> bool:
     return any(x is not None and abs(x) >= 1 << 35 for x in r)
 
 
-def similar_pairs(distinct: DataFrame, docs: DataFrame, wide: bool, threshold: float = THRESHOLD) -> DataFrame:
-    """(u, v): verified links between distinct lines (node, n, b1, b2, ...).
-
-    A line makes at most NEIGHBOURS + 1 pairs in each of its bands, whatever their sizes."""
+def bands_of(distinct: DataFrame) -> DataFrame:
+    """(node, n, band): the bands of distinct lines (node, n, b1, b2, ...)."""
     names = [f"b{i}" for i in range(1, SIGNATURE)]
-    bands = distinct.filter("b1 is not null").select("node", "n", F.explode(F.array_compact(F.array(*names))).alias("band"))
+    return distinct.filter("b1 is not null").select("node", "n", F.explode(F.array_compact(F.array(*names))).alias("band"))
+
+
+def near_sizes(n: Column, m: Column, threshold: float) -> Column:
+    """Sets of sizes too far apart cannot be similar enough."""
+    return (m >= F.lit(threshold) * n - 1e-9) & (n >= F.lit(threshold) * m - 1e-9)
+
+
+def neighbour_pairs(distinct: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(u, v): lines that meet in a band. A line makes at most NEIGHBOURS + 1 pairs in each band, whatever its size; a
+    band of at most NEIGHBOURS + 2 lines makes all its pairs."""
     w = W.partitionBy("band").orderBy(F.xxhash64("node", "band"), "node")
     line = F.struct("node", "n")
     met = [F.first(line).over(w), *(F.lag(line, k).over(w) for k in range(1, NEIGHBOURS + 1))]
-    pairs = bands.select("node", "n", F.array(*met).alias("met")).filter(F.col("met")[1].isNotNull())
+    pairs = bands_of(distinct).select("node", "n", F.array(*met).alias("met")).filter(F.col("met")[1].isNotNull())
     pairs = pairs.select("node", "n", F.explode("met").alias("o")).select(F.col("node").alias("u"), F.col("o.node").alias("v"), "n", F.col("o.n").alias("m"))
-    # sets of sizes too far apart cannot be similar enough
-    sized = pairs.filter((F.col("u") != F.col("v")) & (F.col("m") >= F.lit(threshold) * F.col("n")) & (F.col("n") >= F.lit(threshold) * F.col("m")))
-    sized = sized.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    sized = materialize(sized, "line-pairs")
-    needed = materialize(sized.select("u").union(sized.select("v")).distinct().withColumnRenamed("u", "node"), "line-needed")
+    sized = pairs.filter((F.col("u") != F.col("v")) & near_sizes(F.col("n"), F.col("m"), threshold))
+    return sized.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
+def fetched(needed: DataFrame, docs: DataFrame, wide: bool) -> DataFrame:
+    """The rows of needed (node, ...) with the lines they name."""
     if needed.count() <= BROADCAST_LINES:
         needed = F.broadcast(needed)
     lines = split_lines(docs).filter(F.col("line_no") < LINES).select(place(wide).alias("node"), "line")
-    sets = lines.join(needed, "node").select("node", shingle_hashes("line").alias("set"))
-    sets = materialize(sets.dropDuplicates(["node"]), "line-sets")
+    return lines.join(needed, "node").dropDuplicates(["node"])
+
+
+def verified(pairs: DataFrame, docs: DataFrame, wide: bool, threshold: float = THRESHOLD) -> DataFrame:
+    """Those of the pairs (u, v) whose lines reach the threshold by exact Jaccard."""
+    pairs = materialize(pairs, "line-pairs")
+    needed = materialize(pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "node"), "line-needed")
+    sets = materialize(fetched(needed, docs, wide).select("node", shingle_hashes("line").alias("set")), "line-sets")
     a, b = (sets.select(F.col("node").alias(x), F.col("set").alias(f"{x}_set")) for x in "uv")
     shared = F.size(F.array_intersect("u_set", "v_set"))
     alike = shared >= F.lit(threshold) * (F.size("u_set") + F.size("v_set") - shared) - 1e-9
-    return sized.join(a, "u").join(b, "v").filter(alike).select("u", "v")
+    return pairs.join(a, "u").join(b, "v").filter(alike).select("u", "v")
+
+
+def split_bands(distinct: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, n, root): the lines of bands that did not make all their pairs and still fall into several components."""
+    bands = bands_of(distinct)
+    large = bands.groupBy("band").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > NEIGHBOURS + 2).select("band")
+    members = bands.join(large, "band").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    members = materialize(members, "line-bands")
+    split = members.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("z")).filter("a <> z").select("band")
+    return members.join(split, "band", "left_semi").select("node", "n", "root").distinct()
+
+
+def size_class(n: Column) -> Column:
+    return F.floor(F.log(n) / F.lit(math.log(CLASS))).cast("int")
+
+
+def prefix_pairs(members: DataFrame, docs: DataFrame, wide: bool, threshold: float = THRESHOLD) -> DataFrame:
+    """(u, v): all pairs of members (node, n, root) of different roots that can be similar enough, by prefix filters.
+
+    In one order of all shingles, sets of n and m shingles that share a = ceil(t (n + m) / (1 + t)) have one in common
+    among the first n - a + 1 of the one and the first m - a + 1 of the other. In the order, shingles that stand under
+    one root only come first, as they make no pair, then rare ones; so what a template gives to all its lines comes
+    last, and lines that differ by more than the threshold allows do not meet in it. Prefixes are taken for each class
+    of sizes of the other side. In a posting only lines outside its most frequent root look for partners."""
+    t = threshold
+    sets = materialize(fetched(members, docs, wide).select("node", "n", "root", shingle_hashes("line").alias("set")), "line-members")
+    each = sets.select("node", "root", F.explode("set").alias("s"))
+    told = each.groupBy("s", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("s")
+    told = told.agg(F.sum("k").alias("df"), F.max_by("root", F.struct("k", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").drop("roots")
+    told = materialize(told, "line-shingles")
+    ranked = each.join(told, "s").select("node", "df", "s", (F.col("root") != F.col("main")).alias("seeks")).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "s", "seeks"))).alias("own"))
+    ranked = sets.select("node", "n", "root").join(ranked, "node")
+    n = F.col("n").cast("double")
+    least = F.pow(F.lit(CLASS), F.col("other")) * (1 - 1e-9)
+    as_large = ranked.withColumn("large", F.lit(True)).withColumn("other", F.explode(F.sequence(size_class(F.greatest(n * t * (1 - 1e-9), F.lit(1.0))), size_class(n))))
+    as_large = as_large.withColumn("m", F.greatest(least, n * t))
+    as_small = ranked.withColumn("large", F.lit(False)).withColumn("other", F.explode(F.sequence(size_class(n), size_class(n / t * (1 + 1e-9)))))
+    as_small = as_small.withColumn("m", F.greatest(least, n))
+    both = as_large.union(as_small)
+    prefix = (n - F.ceil((n + F.col("m")) * t / (1 + t) - 1e-6) + 1).cast("int")
+    # the shingles that make no pair stand before these in the order
+    both = both.withColumn("own", F.slice("own", F.lit(1), F.greatest(prefix - (F.col("n") - F.size("own")), F.lit(0))))
+    pair_class = F.when(F.col("large"), F.struct(size_class(n).alias("l"), F.col("other").alias("m"))).otherwise(F.struct(F.col("other").alias("l"), size_class(n).alias("m")))
+    posts = both.select("node", "n", "root", "large", pair_class.alias("c"), F.explode("own").alias("x")).select("node", "n", "root", "large", "c.l", "c.m", "x.s", "x.seeks")
+    posts = materialize(posts, "line-posts")
+    a = posts.filter("seeks").select("s", "l", "m", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "root", "large")))
+    b = posts.select("s", "l", "m", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "root", "large")))
+    fits = near_sizes(F.col("n_a"), F.col("n_b"), t) & (F.struct("n_a", "node_a") > F.struct(F.col("n_b").alias("n_a"), F.col("node_b").alias("node_a"))).eqNullSafe(F.col("large_a"))
+    met = a.join(b, ["s", "l", "m"]).filter((F.col("large_a") != F.col("large_b")) & (F.col("root_a") != F.col("root_b")) & fits)
+    return met.select(F.greatest("node_a", "node_b").alias("u"), F.least("node_a", "node_b").alias("v")).distinct()
+
+
+def line_roots(distinct: DataFrame, docs: DataFrame, wide: bool, threshold: float = THRESHOLD) -> DataFrame:
+    """(node, root) of distinct lines (node, n, b1, b2, ...) in components of similar lines: each verified pair that
+    shares a band is in one component."""
+    links = materialize(verified(neighbour_pairs(distinct, threshold), docs, wide, threshold), "line-links")
+    roots = materialize(connected_components(links, "line-components"), "line-roots")
+    members = materialize(split_bands(distinct, roots), "line-split")
+    more = materialize(verified(prefix_pairs(members, docs, wide, threshold), docs, wide, threshold), "line-links")
+    if more.isEmpty():
+        return roots
+    return connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more), "line-components")
 
 
 def kept_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -86,8 +170,7 @@ def kept_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # equal lines have equal bands, so the least of each is that of all, in numbers that hash aggregation holds
     distinct = flat.groupBy("digest").agg(*(F.min(c).alias(c) for c in flat.columns[1:])).drop("digest")
     distinct = materialize(distinct, "lines")
-    links = materialize(similar_pairs(distinct, docs, wide, threshold), "line-links")
-    later = connected_components(links, "line-components").filter("node <> root").select("node")
+    later = line_roots(distinct, docs, wide, threshold).filter("node <> root").select("node")
     first = distinct.select("node").join(later, "node", "left_anti")
     doc = F.floor(F.col("node") / F.lit(LINES)).cast("long") if wide else F.shiftright("node", 27)
     return first.select(doc.alias("doc_id"), F.pmod("node", F.lit(LINES)).cast("int").alias("line_no"))

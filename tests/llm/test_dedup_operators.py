@@ -167,6 +167,27 @@ def test_lines(spark):
     assert text == {d: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[d]) for d, t in rows}
 
 
+def test_lines_of_one_template(spark):
+    """Twins around one template: all share its bands, but only twins are similar enough."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    template, texts = [word() for _ in range(36)], []
+    for _ in range(150):
+        w = list(template)
+        for k in rng.sample(range(36), 3):
+            w[k] = word()
+        twin = list(w)
+        twin[rng.randrange(36)] = word()
+        texts += [" ".join(w), " ".join(twin)]
+    rng.shuffle(texts)
+    sets = [line_set(x) for x in texts]
+    near = [(a, b) for b in range(300) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id for r in lines.line_decisions(docs).collect() if r.removed}
+    roots = plain_components(range(300), near)
+    assert got == {a for a in range(300) if roots[a] != a} and 100 < len(got) < 200
+
+
 def test_lines_edges(nothing, clashing):
     assert lines.dedup_lines(nothing).count() == 0 and lines.line_decisions(nothing).count() == 0
     out = lines.dedup_lines(clashing)
