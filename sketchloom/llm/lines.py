@@ -1,7 +1,7 @@
 """Fuzzy line dedup: MinHash over character shingles, banding, exact Jaccard, components, one line per component.
 
-Only DataFrame functions run here. The shingles of a line are the SHINGLE characters from each word start on (they run
-over into the next words), so an edit changes one or two of them. A line's signature is its SIGNATURE least shingle
+Only DataFrame functions run here. The shingles of a line are its runs of SHINGLE characters, one from each character
+on, whatever the script; a line of at most so many is one shingle. A line's signature is its SIGNATURE least shingle
 hashes; its bands are the pairs of neighbours in that order. Two lines of similarity 0.8 share each of the least
 hashes of their union with a chance of 0.8, and a band wherever two in a row are shared: of 9 values, over 99 % of
 such pairs share a band.
@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from .common import columns_or_null, connected_components, materialize
 
 SHINGLE, SIGNATURE, THRESHOLD = 12, 9, 0.8
-#: Lines with fewer distinct shingles are matched only as equal lines: at 0.8 their sets would have to be equal.
-LEAST_SHINGLES = 5
+#: Lines of this many distinct shingles and more are compared: all, as each line has one. Of sets with up to SIGNATURE
+#: shingles the signature is the whole set, and any two of 0.8 share a band.
+LEAST_SHINGLES = 1
 #: In a band, in an order of its own, a line is first compared with so many before it, and with the first.
 NEIGHBOURS = 3
 #: Where that leaves a band in several components, prefixes are taken by classes of set sizes, each so much wider.
@@ -33,8 +34,17 @@ BROADCAST_LINES = 500_000
 LINES = 1 << 27
 
 
+def shingle_runs(line: str | Column) -> Column:
+    """Hashes of the runs of SHINGLE characters from each character of a line on, repeats included."""
+    line = F.col(line) if isinstance(line, str) else line
+    # four bytes a character, so that a run is found without a walk; bound to a variable, so that it is encoded once
+    starts = F.sequence(F.lit(0), F.greatest(F.length(line) - SHINGLE, F.lit(0)))
+    runs = F.transform(F.array(F.encode(line, "UTF-32")), lambda x: F.transform(starts, lambda i: F.xxhash64(F.substring(x, i * 4 + 1, F.lit(4 * SHINGLE)))))
+    return runs[0]
+
+
 def shingle_hashes(line: str | Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(rf"(?<![^ ])(?=([^ ].{{0,{SHINGLE - 1}}}))"), 1), lambda s: F.xxhash64(s)))
+    return F.array_distinct(shingle_runs(line))
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
@@ -65,7 +75,7 @@ def near_sizes(n: Column, m: Column, threshold: float) -> Column:
 
 
 def neighbour_pairs(distinct: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(u, v): lines that meet in a band. A line makes at most NEIGHBOURS + 1 pairs in each band, whatever its size; a
+    """(u, v, total): lines that meet in a band, total the sum of their set sizes. A line makes at most NEIGHBOURS + 1 pairs in each band, whatever its size; a
     band of at most NEIGHBOURS + 2 lines makes all its pairs."""
     w = W.partitionBy("band").orderBy(F.xxhash64("node", "band"), "node")
     line = F.struct("node", "n")
@@ -73,7 +83,7 @@ def neighbour_pairs(distinct: DataFrame, threshold: float = THRESHOLD) -> DataFr
     pairs = bands_of(distinct).select("node", "n", F.array(*met).alias("met")).filter(F.col("met")[1].isNotNull())
     pairs = pairs.select("node", "n", F.explode("met").alias("o")).select(F.col("node").alias("u"), F.col("o.node").alias("v"), "n", F.col("o.n").alias("m"))
     sized = pairs.filter((F.col("u") != F.col("v")) & near_sizes(F.col("n"), F.col("m"), threshold))
-    return sized.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    return sized.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"), (F.col("n") + F.col("m")).alias("total")).distinct()
 
 
 def fetched(needed: DataFrame, docs: DataFrame, wide: bool) -> DataFrame:
@@ -85,14 +95,13 @@ def fetched(needed: DataFrame, docs: DataFrame, wide: bool) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, wide: bool, threshold: float = THRESHOLD) -> DataFrame:
-    """Those of the pairs (u, v) whose lines reach the threshold by exact Jaccard."""
+    """(u, v) of those pairs (u, v, total) whose lines reach the threshold by exact Jaccard."""
     pairs = materialize(pairs, "line-pairs")
     needed = materialize(pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "node"), "line-needed")
-    sets = materialize(fetched(needed, docs, wide).select("node", shingle_hashes("line").alias("set")), "line-sets")
-    a, b = (sets.select(F.col("node").alias(x), F.col("set").alias(f"{x}_set")) for x in "uv")
-    shared = F.size(F.array_intersect("u_set", "v_set"))
-    alike = shared >= F.lit(threshold) * (F.size("u_set") + F.size("v_set") - shared) - 1e-9
-    return pairs.join(a, "u").join(b, "v").filter(alike).select("u", "v")
+    lines = materialize(fetched(needed, docs, wide).select("node", "line"), "line-texts")
+    a, b = (lines.select(F.col("node").alias(x), F.col("line").alias(f"{x}_line")) for x in "uv")
+    shared = F.size(F.array_intersect(shingle_runs("u_line"), shingle_runs("v_line")))
+    return pairs.join(a, "u").join(b, "v").filter(shared * (1 + threshold) >= F.col("total") * threshold - 1e-9).select("u", "v")
 
 
 def split_bands(distinct: DataFrame, roots: DataFrame) -> DataFrame:
@@ -110,7 +119,7 @@ def size_class(n: Column) -> Column:
 
 
 def prefix_pairs(members: DataFrame, docs: DataFrame, wide: bool, threshold: float = THRESHOLD) -> DataFrame:
-    """(u, v): all pairs of members (node, n, root) of different roots that can be similar enough, by prefix filters.
+    """(u, v, total): all pairs of members (node, n, root) of different roots that can be similar enough, by prefix filters.
 
     In one order of all shingles, sets of n and m shingles that share a = ceil(t (n + m) / (1 + t)) have one in common
     among the first n - a + 1 of the one and the first m - a + 1 of the other. In the order, shingles that stand under
@@ -118,13 +127,13 @@ def prefix_pairs(members: DataFrame, docs: DataFrame, wide: bool, threshold: flo
     last, and lines that differ by more than the threshold allows do not meet in it. Prefixes are taken for each class
     of sizes of the other side. In a posting only lines outside its most frequent root look for partners."""
     t = threshold
-    sets = materialize(fetched(members, docs, wide).select("node", "n", "root", shingle_hashes("line").alias("set")), "line-members")
-    each = sets.select("node", "root", F.explode("set").alias("s"))
+    own = materialize(fetched(members, docs, wide).select("node", "n", "root", "line"), "line-members")
+    each = own.select("node", "root", F.explode(shingle_hashes("line")).alias("s"))
     told = each.groupBy("s", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("s")
     told = told.agg(F.sum("k").alias("df"), F.max_by("root", F.struct("k", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").drop("roots")
     told = materialize(told, "line-shingles")
     ranked = each.join(told, "s").select("node", "df", "s", (F.col("root") != F.col("main")).alias("seeks")).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "s", "seeks"))).alias("own"))
-    ranked = sets.select("node", "n", "root").join(ranked, "node")
+    ranked = own.select("node", "n", "root").join(ranked, "node")
     n = F.col("n").cast("double")
     least = F.pow(F.lit(CLASS), F.col("other")) * (1 - 1e-9)
     as_large = ranked.withColumn("large", F.lit(True)).withColumn("other", F.explode(F.sequence(size_class(F.greatest(n * t * (1 - 1e-9), F.lit(1.0))), size_class(n))))
@@ -142,7 +151,7 @@ def prefix_pairs(members: DataFrame, docs: DataFrame, wide: bool, threshold: flo
     b = posts.select("s", "l", "m", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "root", "large")))
     fits = near_sizes(F.col("n_a"), F.col("n_b"), t) & (F.struct("n_a", "node_a") > F.struct(F.col("n_b").alias("n_a"), F.col("node_b").alias("node_a"))).eqNullSafe(F.col("large_a"))
     met = a.join(b, ["s", "l", "m"]).filter((F.col("large_a") != F.col("large_b")) & (F.col("root_a") != F.col("root_b")) & fits)
-    return met.select(F.greatest("node_a", "node_b").alias("u"), F.least("node_a", "node_b").alias("v")).distinct()
+    return met.select(F.greatest("node_a", "node_b").alias("u"), F.least("node_a", "node_b").alias("v"), (F.col("n_a") + F.col("n_b")).alias("total")).distinct()
 
 
 def line_roots(distinct: DataFrame, docs: DataFrame, wide: bool, threshold: float = THRESHOLD) -> DataFrame:
@@ -164,8 +173,9 @@ def kept_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     wide = needs_wide(docs)
     every = split_lines(docs).filter(~blank(F.col("line")) & (F.col("line_no") < LINES))
     marked = every.select(F.md5("line").alias("digest"), place(wide).alias("node"), F.sort_array(shingle_hashes("line")).alias("h"))
-    size, enough = F.size("h"), F.size("h") >= LEAST_SHINGLES
-    bands = [F.when(enough & (size > i), F.xxhash64(F.get("h", F.lit(i - 1)), F.get("h", F.lit(i)))) for i in range(1, SIGNATURE)]
+    size = F.size("h")
+    bands = [F.when(size > i, F.xxhash64(F.get("h", F.lit(i - 1)), F.get("h", F.lit(i)))) for i in range(1, SIGNATURE)]
+    bands[0] = F.when(size == 1, F.xxhash64(F.get("h", F.lit(0)))).otherwise(bands[0])
     flat = marked.select("digest", "node", size.alias("n"), *(b.alias(f"b{i}") for i, b in enumerate(bands, 1)))
     # equal lines have equal bands, so the least of each is that of all, in numbers that hash aggregation holds
     distinct = flat.groupBy("digest").agg(*(F.min(c).alias(c) for c in flat.columns[1:])).drop("digest")

@@ -188,6 +188,27 @@ def test_lines_of_one_template(spark):
     assert got == {a for a in range(300) if roots[a] != a} and 100 < len(got) < 200
 
 
+def test_lines_of_any_script_and_length(spark):
+    """Against all pairs of plain sets: no word starts, no least size."""
+    rng = random.Random(17)
+    cjk, ascii_ = [chr(c) for c in range(0x4E00, 0x4F80)], "abcdefghijklmnop0123456789"
+    run = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    texts = []
+    for k in range(12):
+        long = [run(cjk, 150), "\t".join(run(ascii_, 6) for _ in range(22)), "https://x.org/" + run(ascii_, 130), "😀" + run(cjk, 140)]
+        texts += long + [t[:70] + "Z" + t[71:] for t in long]
+        short = run(ascii_, 16) + f" {k}"
+        texts += [short, short + "x", "  " + short, " ".join(run(ascii_, 5) for _ in range(4)), run(ascii_, 12), run(ascii_, 5)]
+    texts += ["a b c d e f g h", "  a b c d e f g h", "    a b c d e f g h", "a" * 15, "a" * 30, "b c", " b c"]
+    rng.shuffle(texts)
+    sets = [{x[i : i + lines.SHINGLE] for i in range(max(1, len(x) - lines.SHINGLE + 1))} for x in texts]
+    near = [(a, b) for b in range(len(texts)) for a in range(b) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id for r in lines.line_decisions(docs).collect() if r.removed}
+    roots = plain_components(range(len(texts)), near)
+    assert got == {a for a in range(len(texts)) if roots[a] != a} and len(got) > 50
+
+
 def test_lines_edges(nothing, clashing):
     assert lines.dedup_lines(nothing).count() == 0 and lines.line_decisions(nothing).count() == 0
     out = lines.dedup_lines(clashing)
