@@ -2,27 +2,30 @@
 
 A multinomial logistic regression over word n-grams, made sparse by an L1 penalty, is trained on the templates below
 and on a bounded sample of the corpus's own paragraphs as the unknown class. Its probabilities are calibrated on
-held-out rows. Scoring runs in DataFrame functions only: n-grams of all paragraphs meet the few that have weights."""
+held-out rows. Scoring runs in DataFrame functions only. A paragraph is a run of lines with words; where it has enough
+word pairs of a template, the lines that hold the notice are looked for in it, whether it is wrapped or not."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import columns_or_null
+from .common import columns_or_null, materialize
 from .decontamination import shingles, words
 
 UNKNOWN = "unknown"
-#: Paragraphs of the corpus that the unknown class is trained on, in hash order of their places.
+#: Lines of the corpus that the unknown class is trained on, in hash order of their places.
 SAMPLE = 3_000
-#: n-grams in more than this share of sampled paragraphs tell nothing and are no features.
+#: n-grams in more than this share of sampled lines tell nothing and are no features.
 COMMON = 0.01
-#: The share of the n-grams of a template's notice that a paragraph must have to confirm the prediction.
+#: The share of the n-grams of a template's notice that its lines must have to confirm the prediction.
 CONFIRM = 0.6
+#: What a further line must add to the share of a span: less than one word pair of the longest template.
+LINE_COST = 0.01
 
 # The wording of common licence notices.
 TEMPLATES = [
@@ -62,11 +65,48 @@ def ngrams(w: list[str]) -> set[str]:
     return {*w, *map(" ".join, zip(w, w[1:]))}
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no and the words of each line."""
-    own = columns_or_null(docs, doc_id="long", text="string").filter("text is not null")
-    lines = own.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.select("doc_id", "line_no", words("line").alias("w"))
+def numbered_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, version (a hash of the text), line_no and line of each line."""
+    own = columns_or_null(docs, doc_id="long", text="string").filter("text is not null and doc_id is not null")
+    return own.select("doc_id", F.xxhash64("text").alias("version"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+
+
+def known_grams(templates: list[tuple[str, str]]) -> list[tuple[str, list[int]]]:
+    """(gram, templates of which it is a word pair) for all n-grams of the templates."""
+    own = {g: [] for _, text in templates for g in ngrams(plain_words(text))}
+    for t, (_, text) in enumerate(templates):
+        for g in template_pairs(text):
+            own[g].append(t)
+    return sorted(own.items())
+
+
+def template_pairs(text: str) -> set[str]:
+    w = plain_words(text)
+    return set(map(" ".join, zip(w, w[1:])))
+
+
+def notice_paragraphs(docs: DataFrame, templates: list[tuple[str, str]]) -> DataFrame:
+    """doc_id, version, line_no, run, w and ahead (the last word of the line before in the run): the lines of each
+    paragraph, a run of lines with words, that has CONFIRM of the word pairs of some template, wrapped or not."""
+    pairs = F.broadcast(docs.sparkSession.createDataFrame([(g, of) for g, of in known_grams(templates) if of], "gram string, templates array<int>"))
+    sizes = [max(1, len(template_pairs(text))) for _, text in templates]
+
+    def holding(grams: DataFrame, *key: str) -> DataFrame:
+        hits = grams.join(pairs, "gram").dropDuplicates([*key, "gram"]).select(*key, F.explode("templates").alias("t"))
+        least = F.element_at(F.array(*(F.lit(CONFIRM * n - 1e-9) for n in sizes)), F.col("t") + 1)
+        return hits.groupBy(*key, "t").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= least).select(*key).distinct()
+
+    own = columns_or_null(docs, doc_id="long", text="string").filter("text is not null and doc_id is not null").withColumn("version", F.xxhash64("text"))
+    # the pairs of a paragraph are among those of its text
+    texts = holding(own.select("doc_id", "version", F.explode(shingles(words("text"), 2)).alias("gram")), "doc_id", "version")
+    found = materialize(own.join(texts, ["doc_id", "version"], "left_semi").dropDuplicates(["doc_id", "version"]), "license-texts")
+    lines = numbered_lines(found).withColumn("w", words("line")).drop("line")
+    at = W.partitionBy("doc_id", "version").orderBy("line_no")
+    lines = lines.withColumn("run", F.sum((F.size("w") == 0).cast("int")).over(at)).withColumn("ahead", F.get(F.lag("w").over(at), F.size(F.lag("w").over(at)) - 1))
+    lines = materialize(lines.filter(F.size("w") > 0), "license-lines")
+    key = ["doc_id", "version", "run"]
+    joined = lines.select(*key, F.explode(shingles(F.concat(F.coalesce(F.array_compact(F.array("ahead")), F.array().cast("array<string>")), "w"), 2)).alias("gram"))
+    return materialize(lines.join(holding(joined, *key), key, "left_semi"), "license-paragraphs")
 
 
 @dataclass
@@ -153,50 +193,82 @@ def train(negatives: list[list[str]], templates=TEMPLATES, l1: float = 2e-4, rou
     return model
 
 
+def unlabelled(docs: DataFrame, notices: DataFrame, sample: int) -> list[list[str]]:
+    """The words of so many lines, in hash order of their places, that have no word
+    starting with licen or copyright."""
+    letters = r"\p{L}\p{M}\p{N}"
+    each = numbered_lines(docs).filter(F.col("line").rlike(f"[{letters}]") & ~F.lower("line").rlike(f"(?<![{letters}])(licen|copyright)"))
+    order, most = [F.xxhash64("doc_id", "line_no"), "doc_id", "line_no", "version"], sample
+    while True:
+        drawn = materialize(each.orderBy(*order).limit(most), "license-sample")
+        kept = drawn
+        rows = kept.orderBy(*order).limit(sample).select(F.slice(words("line"), 1, 200)).collect()
+        if len(rows) >= sample or drawn.count() < most:
+            return [list(r[0]) for r in rows]
+        most *= 4
+
+
+def spans(grams: DataFrame, templates: list[tuple[str, str]]) -> DataFrame:
+    """(doc_id, version, run, s, e, t, share, held): for each first line s of a paragraph and template t the last line e whose
+    lines from s to e have most of its word pairs, fewest lines first, if they reach CONFIRM."""
+    sizes = F.array(*(F.lit(float(max(1, len(template_pairs(text))))) for _, text in templates))
+    key = ["doc_id", "version", "run", "s", "t"]
+    own = grams.select("doc_id", "version", "run", "s", "line_no", F.explode("templates").alias("t"))
+    own = own.withColumn("held", F.count(F.lit(1)).over(W.partitionBy(*key).orderBy("line_no")))
+    own = own.withColumn("share", F.col("held") / F.element_at(sizes, F.col("t") + 1)).filter(F.col("share") >= CONFIRM - 1e-9)
+    best = F.max_by(F.struct("line_no", "share", "held"), F.struct(F.col("share") - LINE_COST * (F.col("line_no") - F.col("s")), -F.col("line_no")))
+    return own.groupBy(*key).agg(best.alias("b")).select(*key, F.col("b.line_no").alias("e"), F.col("b.share").alias("share"), F.col("b.held").alias("held"))
+
+
 def license_scan(docs: DataFrame, templates=TEMPLATES, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, line_no, family, probability and template_share of each paragraph (line) that holds a licence notice.
+    """doc_id, line_no, last_line, family, probability and template_share of each licence notice, which stands in the
+    lines line_no to last_line of a paragraph (a run of lines with words).
 
-    family is the classifier's most probable one, where its calibrated probability reaches the threshold and a template
-    of that family has at least CONFIRM of its word pairs in the paragraph; all else is of unknown family and not
-    returned. Whole texts are scanned. A null or empty text has no paragraphs; repeated rows of one doc_id count as
-    one; rows without a doc_id are left out. An empty table gives an empty result; further columns are ignored."""
+    family is the classifier's most probable one for these lines, where its calibrated probability reaches the threshold
+    and a template of that family has at least CONFIRM of its word pairs in them; all else is of unknown family and not
+    returned. Of overlapping lines of one family those with most word pairs of a template are taken, the fewest of these. Whole texts
+    are scanned. A null or empty text has no paragraphs; equal rows of one doc_id count as one; rows without a doc_id
+    are left out. An empty table gives an empty result; further columns are ignored."""
     spark = docs.sparkSession
-    each = paragraphs(docs).filter(F.col("doc_id").isNotNull() & (F.size("w") > 0))
-    notice = F.exists("w", lambda x: x.startswith("licen") | x.startswith("copyright"))
-    drawn = each.filter(~notice).orderBy(F.xxhash64("doc_id", "line_no"), "doc_id", "line_no").limit(sample).select(F.slice("w", 1, 200)).collect()
-    model = train([list(r[0]) for r in drawn], templates)
-
-    used = np.flatnonzero(np.abs(model.weights).sum(axis=1) > 0)
-    pairs = {}
-    for t, (family, text) in enumerate(templates):
-        w = plain_words(text)
-        for g in set(map(" ".join, zip(w, w[1:]))):
-            pairs.setdefault(g, []).append(t)
-    sizes = [len(set(zip(w, w[1:]))) for w in (plain_words(t) for _, t in templates)]
+    notices = notice_paragraphs(docs, templates)
+    model = train(unlabelled(docs, notices, sample), templates)
+    told = {model.vocabulary[i]: model.weights[i].tolist() for i in np.flatnonzero(np.abs(model.weights).sum(axis=1) > 0)}
     gone = [0.0] * len(model.families)
-    told = {model.vocabulary[i]: model.weights[i].tolist() for i in used}
-    rows = [(g, told.get(g, gone), pairs.get(g, [])) for g in sorted({*told, *pairs})]
     # bounded by the templates: a few thousand n-grams
-    known = F.broadcast(spark.createDataFrame(rows, "gram string, weights array<double>, templates array<int>"))
-
-    grams = each.select("doc_id", "line_no", F.explode(F.array_distinct(F.concat("w", F.when(F.size("w") > 1, shingles("w", 2)).otherwise(F.array().cast("array<string>"))))).alias("gram"))
-    hits = grams.join(known, "gram").dropDuplicates(["doc_id", "line_no", "gram"])
-    k, n = len(model.families), len(templates)
-    logits = [F.sum(F.col("weights")[i]).alias(f"z{i}") for i in range(k)]
-    shares = [F.sum(F.array_contains("templates", t).cast("int")).alias(f"t{t}") for t in range(n)]
-    lines = hits.groupBy("doc_id", "line_no").agg(*logits, *shares)
+    known = F.broadcast(spark.createDataFrame([(g, told.get(g, gone), of) for g, of in known_grams(templates)], "gram string, weights array<double>, templates array<int>"))
+
+    # each n-gram of a line counts for all first lines from which a notice of one word a line could reach it
+    longest = max(len(plain_words(text)) for _, text in templates)
+    none = F.array().cast("array<string>")
+    own = F.concat("w", F.when(F.size("w") > 1, shingles("w", 2)).otherwise(none))
+    across = F.when(F.col("ahead").isNotNull(), F.array(F.concat_ws(" ", "ahead", F.get("w", F.lit(0))))).otherwise(none)
+    key = ["doc_id", "version", "run"]
+    marked = notices.select(*key, "line_no", F.explode(F.concat(F.transform(own, lambda g: F.struct(g.alias("gram"), F.lit(0).alias("back"))), F.transform(across, lambda g: F.struct(g.alias("gram"), F.lit(1).alias("back"))))).alias("x"))
+    hits = materialize(marked.select(*key, "line_no", F.col("x.gram").alias("gram"), F.col("x.back").alias("back")).join(known.select("gram"), "gram"), "license-hits")
+    first = hits.select(*key, F.col("line_no").alias("s")).distinct()
+    starts = F.sequence(F.col("line_no") - (longest - 1), F.col("line_no") - F.col("back"))
+    reach = hits.select(*key, "gram", "line_no", F.explode(starts).alias("s")).join(first, [*key, "s"], "left_semi")
+    grams = reach.groupBy(*key, "s", "gram").agg(F.min("line_no").alias("line_no")).join(known, "gram")
+    grams = materialize(grams, "license-grams")
+
+    found = spans(grams, templates)
+    k = len(model.families)
+    scored = found.join(grams.select(*key, "s", F.col("line_no").alias("at"), "weights"), [*key, "s"]).filter("at <= e")
+    scored = scored.groupBy(*key, "s", "e", "t", "share", "held").agg(*(F.sum(F.col("weights")[i]).alias(f"z{i}") for i in range(k)))
     z = [(F.col(f"z{i}") + F.lit(float(model.bias[i]))) / F.lit(model.temperature) for i in range(k)]
-    lines = lines.select("doc_id", "line_no", F.array(*z).alias("z"), F.array(*(F.col(f"t{t}") / F.lit(float(max(1, sizes[t]))) for t in range(n))).alias("shares"))
+    scored = scored.select("doc_id", "s", "e", "t", "share", "held", F.array(*z).alias("z"))
     top = F.array_max("z")
     total = F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x - top))
     best = F.array_max(F.slice("z", 2, k - 1))
-    lines = lines.select("doc_id", "line_no", "shares", F.array_position("z", best).cast("int").alias("at"), (F.exp(best - top) / total).alias("probability"))
-    lines = lines.withColumn("family", F.element_at(F.array(*map(F.lit, model.families)), F.col("at")))
-    of = {f: [t for t, x in enumerate(templates) if x[0] == f] for f in model.families[1:]}
-    share: Column = reduce(lambda a, f: F.when(F.col("family") == f, F.greatest(*(F.col("shares")[t] for t in of[f]), F.lit(0.0))).otherwise(a), of, F.lit(0.0))
-    lines = lines.withColumn("template_share", share)
-    sure = lines.filter((F.col("family") != UNKNOWN) & (F.col("probability") >= F.lit(model.threshold)) & (F.col("template_share") >= F.lit(CONFIRM)))
-    return sure.select("doc_id", "line_no", "family", "probability", "template_share")
+    scored = scored.withColumn("family", F.element_at(F.array(*map(F.lit, model.families)), F.array_position("z", best).cast("int")))
+    scored = scored.withColumn("probability", F.exp(best - top) / total)
+    same = F.element_at(F.array(*(F.lit(f) for f, _ in templates)), F.col("t") + 1) == F.col("family")
+    sure = scored.filter(same & (F.col("family") != UNKNOWN) & (F.col("probability") >= F.lit(model.threshold)))
+    ranked = sure.groupBy("doc_id", "family").agg(F.sort_array(F.collect_set(F.struct((-F.col("held")).alias("order"), (F.col("e") - F.col("s")).alias("more"), "s", "e", "probability", "share"))).alias("c"))
+    empty = F.slice("c", F.lit(1), F.lit(0))
+    free = lambda kept, x: ~F.exists(kept, lambda y: (x["s"] <= y["e"]) & (y["s"] <= x["e"]))
+    ranked = ranked.select("doc_id", "family", F.explode(F.aggregate("c", empty, lambda kept, x: F.when(free(kept, x), F.concat(kept, F.array(x))).otherwise(kept))).alias("x"))
+    return ranked.select("doc_id", F.col("x.s").alias("line_no"), F.col("x.e").alias("last_line"), "family", F.col("x.probability").alias("probability"), F.col("x.share").alias("template_share"))
 
 
 def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

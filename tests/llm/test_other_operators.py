@@ -214,6 +214,25 @@ def test_license_families(notices):
     assert right / len(want) > 0.9 and len(set(got) - set(want)) <= 2
 
 
+def test_license_wrapped(spark):
+    """Hard-wrapped notices, alone between blank lines or straight among other lines, with their line spans."""
+    import textwrap
+
+    rng = random.Random(5)
+    prose = lambda: " ".join(f"w{rng.randrange(300)}" for _ in range(12))
+    long = [x for x in licenses.TEMPLATES if len(x[1].split()) > 18]
+    rows, want = [], {}
+    for d in range(4 * len(long)):
+        family, text = long[d % len(long)]
+        own = [f" * {x}" for x in textwrap.wrap(text, (64, 34)[d % 2])]
+        gap = ["", " *"][d % 2 : d % 2 + 1] if d % 3 else []
+        rows.append((d, "\n".join([prose(), prose(), *gap, *own, *gap, prose()])))
+        want[d, 2 + len(gap)] = (family, 1 + len(gap) + len(own))
+    rows += [(1000 + d, "\n".join(prose() for _ in range(4))) for d in range(100)]
+    got = {(r.doc_id, r.line_no): (r.family, r.last_line) for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string"), sample=300).collect()}
+    assert sum(got.get(k) == v for k, v in want.items()) / len(want) > 0.9 and len(set(got) - set(want)) <= 2
+
+
 def test_license_edges(nothing, clashing):
     assert licenses.license_scan(nothing).count() == 0
     assert licenses.license_scan(clashing).count() == 0
