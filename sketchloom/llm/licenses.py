@@ -194,15 +194,15 @@ def train(negatives: list[list[str]], templates=TEMPLATES, l1: float = 2e-4, rou
 
 
 def unlabelled(docs: DataFrame, notices: DataFrame, sample: int) -> list[list[str]]:
-    """The words of so many lines, in hash order of their places, that have no word
+    """The words of so many lines, in hash order of their places, that stand in no paragraph of notices and have no word
     starting with licen or copyright."""
     letters = r"\p{L}\p{M}\p{N}"
     each = numbered_lines(docs).filter(F.col("line").rlike(f"[{letters}]") & ~F.lower("line").rlike(f"(?<![{letters}])(licen|copyright)"))
     order, most = [F.xxhash64("doc_id", "line_no"), "doc_id", "line_no", "version"], sample
     while True:
         drawn = materialize(each.orderBy(*order).limit(most), "license-sample")
-        kept = drawn
-        rows = kept.orderBy(*order).limit(sample).select(F.slice(words("line"), 1, 200)).collect()
+        kept = drawn.join(notices.select("doc_id", "version", "line_no"), ["doc_id", "version", "line_no"], "left_anti")
+        rows = kept.orderBy(*order).limit(sample).select(words("line")).collect()
         if len(rows) >= sample or drawn.count() < most:
             return [list(r[0]) for r in rows]
         most *= 4

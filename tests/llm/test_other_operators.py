@@ -233,6 +233,17 @@ def test_license_wrapped(spark):
     assert sum(got.get(k) == v for k, v in want.items()) / len(want) > 0.9 and len(set(got) - set(want)) <= 2
 
 
+@pytest.mark.parametrize("family", ["mit", "bsd"])
+def test_license_of_a_third_of_all_rows(spark, family):
+    """A notice without the words licence and copyright, in a third of the rows, is not learned as unknown."""
+    rng = random.Random(8)
+    text = next(x for f, x in licenses.TEMPLATES if f == family and len(x.split()) > 18)
+    prose = lambda: " ".join(f"w{rng.randrange(300)}" for _ in range(20))
+    rows = [(d, text if d % 3 == 0 else prose()) for d in range(600)]
+    got = {r.doc_id for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string"), sample=600).collect() if r.family == family}
+    assert got == set(range(0, 600, 3))
+
+
 def test_license_edges(nothing, clashing):
     assert licenses.license_scan(nothing).count() == 0
     assert licenses.license_scan(clashing).count() == 0
