@@ -39,3 +39,12 @@ def test_entry(spark):
 
     assert set(ORACLES) <= set(QUERIES) and set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() == 30
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_evaluation_takes_every_order(spark):
+    from sketchloom.queries import _workload
+
+    sf = "/root/testdata/sf0.01"
+    w = _workload(spark, sf)
+    assert sum(map(len, w.stages)) == spark.read.parquet(f"{sf}/orders.parquet").count() and len(w.absent) == 96
