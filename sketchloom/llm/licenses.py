@@ -98,14 +98,14 @@ def notice_paragraphs(docs: DataFrame, templates: list[tuple[str, str]]) -> Data
 
     own = columns_or_null(docs, doc_id="long", text="string").filter("text is not null and doc_id is not null").withColumn("version", F.xxhash64("text"))
     # the pairs of a paragraph are among those of its text
-    texts = holding(own.select("doc_id", "version", F.explode(shingles(words("text"), 2)).alias("gram")), "doc_id", "version")
+    texts = holding(own.select("doc_id", "version", words("text").alias("w")).select("doc_id", "version", F.explode(shingles("w", 2)).alias("gram")), "doc_id", "version")
     found = materialize(own.join(texts, ["doc_id", "version"], "left_semi").dropDuplicates(["doc_id", "version"]), "license-texts")
     lines = numbered_lines(found).withColumn("w", words("line")).drop("line")
     at = W.partitionBy("doc_id", "version").orderBy("line_no")
     lines = lines.withColumn("run", F.sum((F.size("w") == 0).cast("int")).over(at)).withColumn("ahead", F.get(F.lag("w").over(at), F.size(F.lag("w").over(at)) - 1))
     lines = materialize(lines.filter(F.size("w") > 0), "license-lines")
     key = ["doc_id", "version", "run"]
-    joined = lines.select(*key, F.explode(shingles(F.concat(F.coalesce(F.array_compact(F.array("ahead")), F.array().cast("array<string>")), "w"), 2)).alias("gram"))
+    joined = lines.select(*key, F.concat(F.array_compact(F.array("ahead")), "w").alias("w")).select(*key, F.explode(shingles("w", 2)).alias("gram"))
     return materialize(lines.join(holding(joined, *key), key, "left_semi"), "license-paragraphs")
 
 
