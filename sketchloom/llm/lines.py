@@ -1,58 +1,77 @@
 """Fuzzy line dedup: MinHash over character shingles, banding, exact Jaccard, components, one line per component.
 
 Only DataFrame functions run here. The shingles of a line are its runs of SHINGLE characters, one from each character
-on, whatever the script; a line of at most so many is one shingle. A line's signature is its SIGNATURE least shingle
-hashes; its bands are the pairs of neighbours in that order. Two lines of similarity 0.8 share each of the least
-hashes of their union with a chance of 0.8, and a band wherever two in a row are shared: of 9 values, over 99 % of
-such pairs share a band.
+on, whatever the script; a line of at most so many is one shingle. A signature has VALUES values, each the least shingle
+hash in an order of its own: an exclusive or with a mask that differs in the top four bits. Two lines of similarity J
+agree in each value with a chance of J; a band is two values, so of BANDS = 6 a pair of 0.8 shares one with a chance of
+1 - 0.36 ** 6, above 99.7 %.
 
-In each band a line is compared with a few others, which joins large groups of similar lines at a cost linear in the
-band. Bands that are then still in several components are compared in full across these, by prefix filters.
+In each band a line is compared with a few others that follow one another in the order of the next band's values, which
+joins groups of similar lines at a cost linear in the band. Bands that are then still in several components are
+compared in full across these, by prefix filters, so every pair that shares a band and reaches the threshold is in one
+component.
 
 A line is named by its place, doc_id * 2**27 + line number, so the least name of a component is its first line."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import columns_or_null, connected_components, materialize
 
-SHINGLE, SIGNATURE, THRESHOLD = 12, 9, 0.8
-#: Lines of this many distinct shingles and more are compared: all, as each line has one. Of sets with up to SIGNATURE
-#: shingles the signature is the whole set, and any two of 0.8 share a band.
-LEAST_SHINGLES = 1
-#: In a band, in an order of its own, a line is first compared with so many before it, and with the first.
+SHINGLE, BANDS, THRESHOLD = 12, 6, 0.8
+VALUES = 2 * BANDS
+#: Of a line with more than ENOUGH shingles only the smaller hashes of each order's own sixteenth are looked at (some
+#: ENOUGH / 16 in each) and those of the first FIRST characters. Where repeats inside a line leave fewer than
+#: LEAST_OWN of the sixteenths with a hash, the line is looked at again, all of it.
+ENOUGH, FIRST, LEAST_OWN = 96, 16, 8
+#: In a band a line is compared with so many before it, in the order of the next band.
 NEIGHBOURS = 3
-#: Where that leaves a band in several components, prefixes are taken by classes of set sizes, each so much wider.
-CLASS = 1.02
+#: Bands of more lines are cut into runs of about so many by the next band's values; the prefix filters join these.
+RUN = 4096
 #: Line places (8 bytes each) that are broadcast at most to fetch lines for verification; more are joined by a shuffle.
 BROADCAST_LINES = 500_000
 LINES = 1 << 27
+LOW = (1 << 60) - 1
+
+
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def shingle_runs(line: str | Column) -> Column:
     """Hashes of the runs of SHINGLE characters from each character of a line on, repeats included."""
     line = F.col(line) if isinstance(line, str) else line
     # four bytes a character, so that a run is found without a walk; bound to a variable, so that it is encoded once
-    starts = F.sequence(F.lit(0), F.greatest(F.length(line) - SHINGLE, F.lit(0)))
-    runs = F.transform(F.array(F.encode(line, "UTF-32")), lambda x: F.transform(starts, lambda i: F.xxhash64(F.substring(x, i * 4 + 1, F.lit(4 * SHINGLE)))))
+    runs = F.transform(F.array(F.encode(line, "UTF-32")), lambda x: F.transform(run_starts(line), lambda i: F.xxhash64(F.substring(x, i, F.lit(4 * SHINGLE)))))
     return runs[0]
 
 
-def shingle_hashes(line: str | Column) -> Column:
-    return F.array_distinct(shingle_runs(line))
+def run_starts(line: Column) -> Column:
+    """Places (from 1) in a line of four bytes a character where a shingle begins."""
+    return F.sequence(F.lit(1), F.greatest(F.length(line) - SHINGLE, F.lit(0)) * 4 + 1, F.lit(4))
+
+
+def exploded_shingles(lines: DataFrame, *keep: str) -> DataFrame:
+    """The columns keep, at and h: a row for each place of a line where a shingle begins. The same hashes as
+    shingle_runs, as rows, which are made and used in compiled code."""
+    wide = lines.select(*keep, run_starts(F.col("line")).alias("__at"), F.encode("line", "UTF-32").alias("__wide"))
+    each = wide.select(*keep, "__wide", F.explode("__at").alias("at"))
+    return each.select(*keep, "at", F.xxhash64(F.substring("__wide", F.col("at"), F.lit(4 * SHINGLE))).alias("h"))
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no (from 0) and line of all \\n-split lines; a null text has none."""
+    """doc_id, line_no (from 0) and line of all \n-split lines; a null text has none."""
     own = columns_or_null(docs, doc_id="long", text="string").filter("text is not null and doc_id is not null")
     return own.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
+def blank(line: Column) -> Column:
+    return ~line.rlike(r"[^\x20\x09\x0B-\x0D]")
+
+
 def place(wide: bool) -> Column:
     """doc_id and line_no in one number, of 64 bits unless ids are too large for it."""
     return F.col("doc_id").cast("decimal(38,0)" if wide else "long") * F.lit(LINES) + F.col("line_no")
@@ -63,27 +82,41 @@ def needs_wide(docs: DataFrame) -> bool:
     return any(x is not None and abs(x) >= 1 << 35 for x in r)
 
 
-def bands_of(distinct: DataFrame) -> DataFrame:
-    """(node, n, band): the bands of distinct lines (node, n, b1, b2, ...)."""
-    names = [f"b{i}" for i in range(1, SIGNATURE)]
-    return distinct.filter("b1 is not null").select("node", "n", F.explode(F.array_compact(F.array(*names))).alias("band"))
+def cut(n: Column) -> Column:
+    """The largest hash, without its top four bits, that is looked at anywhere in a line."""
+    return F.when(n > ENOUGH, F.floor(F.lit(float(ENOUGH << 60)) / n)).otherwise(F.lit(LOW)).cast("long")
 
 
-def near_sizes(n: Column, m: Column, threshold: float) -> Column:
-    """Sets of sizes too far apart cannot be similar enough."""
-    return (m >= F.lit(threshold) * n - 1e-9) & (n >= F.lit(threshold) * m - 1e-9)
+def signatures(shingles: DataFrame, key: str) -> DataFrame:
+    """key, node (the least), n (characters that begin a shingle), own and b1, b2, ...: the bands of each line. own: in
+    how many of the orders the least hash is of the order's own sixteenth, and small enough to be looked at anywhere."""
+    # the sign is turned, so that an order's own sixteenth comes first among signed numbers
+    masks = [signed((i ^ 8) << 60) for i in range(VALUES)]
+    least = [F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(masks)]
+    found = shingles.groupBy(key).agg(F.min("node").alias("node"), F.max("n").alias("n"), *least)
+    own = [(F.shiftrightunsigned(f"m{i}", 60) == 8) & (F.col(f"m{i}").bitwiseAND(F.lit(LOW)) <= cut(F.col("n"))) for i in range(VALUES)]
+    own = sum((x.cast("int") for x in own), F.lit(0))
+    bands = [F.xxhash64(F.lit(i), F.col(f"m{i}"), F.col(f"m{i + BANDS}")).alias(f"b{i + 1}") for i in range(BANDS)]
+    return found.select(key, "node", "n", own.alias("own"), *bands)
 
 
-def neighbour_pairs(distinct: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(u, v, total): lines that meet in a band, total the sum of their set sizes. A line makes at most NEIGHBOURS + 1 pairs in each band, whatever its size; a
-    band of at most NEIGHBOURS + 2 lines makes all its pairs."""
-    w = W.partitionBy("band").orderBy(F.xxhash64("node", "band"), "node")
-    line = F.struct("node", "n")
-    met = [F.first(line).over(w), *(F.lag(line, k).over(w) for k in range(1, NEIGHBOURS + 1))]
-    pairs = bands_of(distinct).select("node", "n", F.array(*met).alias("met")).filter(F.col("met")[1].isNotNull())
-    pairs = pairs.select("node", "n", F.explode("met").alias("o")).select(F.col("node").alias("u"), F.col("o.node").alias("v"), "n", F.col("o.n").alias("m"))
-    sized = pairs.filter((F.col("u") != F.col("v")) & near_sizes(F.col("n"), F.col("m"), threshold))
-    return sized.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"), (F.col("n") + F.col("m")).alias("total")).distinct()
+def distinct_lines(docs: DataFrame, wide: bool) -> DataFrame:
+    """(node, b1, b2, ...) of the distinct lines, node the place of the first."""
+    every = split_lines(docs).filter(~blank(F.col("line")) & (F.col("line_no") < LINES))
+    n = F.greatest(F.length("line") - SHINGLE + 1, F.lit(1))
+    every = every.select(place(wide).alias("node"), F.unhex(F.md5("line")).alias("digest"), n.alias("n"), "line")
+    every = every.withColumn("cut", cut(F.col("n")))
+    each = exploded_shingles(every, "node", "digest", "n", "cut")
+    low = F.col("h").bitwiseAND(F.lit(LOW)) <= F.col("cut")
+    each = each.filter((F.col("at") <= 4 * FIRST) | (F.col("n") <= ENOUGH) | (low & (F.shiftrightunsigned("h", 60) < VALUES)))
+    names = ["node", *(f"b{i + 1}" for i in range(BANDS))]
+    first = materialize(signatures(each, "digest").withColumn("again", (F.col("n") > ENOUGH) & (F.col("own") < LEAST_OWN)).select("again", *names), "lines")
+    again = first.filter("again").select("node")
+    if again.isEmpty():
+        return first.select(*names)
+    whole = exploded_shingles(fetched(again, docs, wide).withColumn("n", F.lit(0)), "node", "n").withColumnRenamed("node", "key").withColumn("node", F.col("key"))
+    more = materialize(signatures(whole, "key").select(*names), "lines-again")
+    return first.filter("not again").select(*names).union(more)
 
 
 def fetched(needed: DataFrame, docs: DataFrame, wide: bool) -> DataFrame:
@@ -94,72 +127,88 @@ def fetched(needed: DataFrame, docs: DataFrame, wide: bool) -> DataFrame:
     return lines.join(needed, "node").dropDuplicates(["node"])
 
 
+def shared_bands(distinct: DataFrame) -> DataFrame:
+    """(band, k, node, next): the bands that several distinct lines share, k of them; next is the line's next band."""
+    pairs = [F.struct(F.col(f"b{i + 1}").alias("band"), F.col(f"b{(i + 1) % BANDS + 1}").alias("next")) for i in range(BANDS)]
+    bands = distinct.select("node", F.explode(F.array(*pairs)).alias("x")).select("node", "x.band", "x.next")
+    several = materialize(bands.groupBy("band").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "line-bands")
+    return materialize(bands.join(several.hint("shuffle_hash"), "band"), "line-shared")
+
+
+def neighbour_pairs(shared: DataFrame) -> DataFrame:
+    """(u, v): lines that meet in a band. A line makes at most NEIGHBOURS pairs in each band, whatever its size; a band
+    of at most NEIGHBOURS + 1 lines makes all its pairs."""
+    run = F.when(F.col("k") > RUN, F.pmod("next", F.ceil(F.col("k") / RUN))).otherwise(F.lit(0))
+    w = W.partitionBy("band", "run").orderBy("next", "node")
+    met = F.array_compact(F.array(*(F.lag("node", k).over(w) for k in range(1, NEIGHBOURS + 1))))
+    pairs = shared.withColumn("run", run).select("node", met.alias("met")).select("node", F.explode("met").alias("o"))
+    return pairs.select(F.greatest("node", "o").alias("u"), F.least("node", "o").alias("v")).distinct()
+
+
 def verified(pairs: DataFrame, docs: DataFrame, wide: bool, threshold: float = THRESHOLD) -> DataFrame:
-    """(u, v) of those pairs (u, v, total) whose lines reach the threshold by exact Jaccard."""
+    """(u, v) of those pairs (u, v) whose lines reach the threshold by exact Jaccard."""
     pairs = materialize(pairs, "line-pairs")
     needed = materialize(pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "node"), "line-needed")
     lines = materialize(fetched(needed, docs, wide).select("node", "line"), "line-texts")
     a, b = (lines.select(F.col("node").alias(x), F.col("line").alias(f"{x}_line")) for x in "uv")
-    shared = F.size(F.array_intersect(shingle_runs("u_line"), shingle_runs("v_line")))
-    return pairs.join(a, "u").join(b, "v").filter(shared * (1 + threshold) >= F.col("total") * threshold - 1e-9).select("u", "v")
-
-
-def split_bands(distinct: DataFrame, roots: DataFrame) -> DataFrame:
-    """(node, n, root): the lines of bands that did not make all their pairs and still fall into several components."""
-    bands = bands_of(distinct)
-    large = bands.groupBy("band").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > NEIGHBOURS + 2).select("band")
-    members = bands.join(large, "band").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    members = materialize(members, "line-bands")
+    # by groups of a few pairs, so that the shingles of u are made once for these
+    group = F.pmod(F.xxhash64("v"), F.greatest(F.lit(1), F.ceil(F.col("pairs") / 16)))
+    counted = pairs.join(pairs.groupBy("u").agg(F.count(F.lit(1)).alias("pairs")), "u").select("u", "v", group.alias("group"))
+    held = counted.join(b, "v").groupBy("u", "group").agg(F.collect_list(F.struct("v", "v_line")).alias("others")).join(a, "u")
+    each = held.select("u", F.array_distinct(shingle_runs("u_line")).alias("own"), F.explode("others").alias("x"))
+    each = each.select("u", "x.v", "own", F.array_distinct(shingle_runs(F.col("x.v_line"))).alias("other"))
+    shared, total = F.size(F.array_intersect("own", "other")), F.size("own") + F.size("other")
+    return each.filter(shared * (1 + threshold) >= total * threshold - 1e-9).select("u", "v")
+
+
+def split_bands(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, root): the lines of bands that did not make all their pairs and still fall into several components."""
+    members = shared.filter(F.col("k") > NEIGHBOURS + 1).select("band", "node").join(roots, "node", "left")
+    members = materialize(members.withColumn("root", F.coalesce("root", "node")), "line-large")
     split = members.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("z")).filter("a <> z").select("band")
-    return members.join(split, "band", "left_semi").select("node", "n", "root").distinct()
-
-
-def size_class(n: Column) -> Column:
-    return F.floor(F.log(n) / F.lit(math.log(CLASS))).cast("int")
+    return members.join(split, "band", "left_semi").select("node", "root").distinct()
 
 
 def prefix_pairs(members: DataFrame, docs: DataFrame, wide: bool, threshold: float = THRESHOLD) -> DataFrame:
-    """(u, v, total): all pairs of members (node, n, root) of different roots that can be similar enough, by prefix filters.
-
-    In one order of all shingles, sets of n and m shingles that share a = ceil(t (n + m) / (1 + t)) have one in common
-    among the first n - a + 1 of the one and the first m - a + 1 of the other. In the order, shingles that stand under
-    one root only come first, as they make no pair, then rare ones; so what a template gives to all its lines comes
-    last, and lines that differ by more than the threshold allows do not meet in it. Prefixes are taken for each class
-    of sizes of the other side. In a posting only lines outside its most frequent root look for partners."""
+    """(u, v): all pairs of members (node, root) of different roots that can be similar enough, by prefix filters.
+
+    Sets of n and m <= n shingles that reach the threshold t share at least a = ceil(t (n + m) / (1 + t)). In one order
+    of all shingles they have one in common among the first n - a + 1 of the one and m - a + 1 of the other: for the
+    larger set at most n - ceil(t n) + 1, as m >= t n, for the smaller m - ceil(2 t m / (1 + t)) + 1, as n >= m. In the
+    order, shingles that stand under one root only come first, as they make no pair, then rare ones; so what a template
+    gives to all its lines comes last, and is in no prefix of a smaller set where lines differ by more than the
+    threshold allows. In a posting only lines outside its most frequent root look for partners."""
     t = threshold
-    own = materialize(fetched(members, docs, wide).select("node", "n", "root", "line"), "line-members")
-    each = own.select("node", "root", F.explode(shingle_hashes("line")).alias("s"))
-    told = each.groupBy("s", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("s")
-    told = told.agg(F.sum("k").alias("df"), F.max_by("root", F.struct("k", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").drop("roots")
-    told = materialize(told, "line-shingles")
-    ranked = each.join(told, "s").select("node", "df", "s", (F.col("root") != F.col("main")).alias("seeks")).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "s", "seeks"))).alias("own"))
-    ranked = own.select("node", "n", "root").join(ranked, "node")
-    n = F.col("n").cast("double")
-    least = F.pow(F.lit(CLASS), F.col("other")) * (1 - 1e-9)
-    as_large = ranked.withColumn("large", F.lit(True)).withColumn("other", F.explode(F.sequence(size_class(F.greatest(n * t * (1 - 1e-9), F.lit(1.0))), size_class(n))))
-    as_large = as_large.withColumn("m", F.greatest(least, n * t))
-    as_small = ranked.withColumn("large", F.lit(False)).withColumn("other", F.explode(F.sequence(size_class(n), size_class(n / t * (1 + 1e-9)))))
-    as_small = as_small.withColumn("m", F.greatest(least, n))
-    both = as_large.union(as_small)
-    prefix = (n - F.ceil((n + F.col("m")) * t / (1 + t) - 1e-6) + 1).cast("int")
-    # the shingles that make no pair stand before these in the order
-    both = both.withColumn("own", F.slice("own", F.lit(1), F.greatest(prefix - (F.col("n") - F.size("own")), F.lit(0))))
-    pair_class = F.when(F.col("large"), F.struct(size_class(n).alias("l"), F.col("other").alias("m"))).otherwise(F.struct(F.col("other").alias("l"), size_class(n).alias("m")))
-    posts = both.select("node", "n", "root", "large", pair_class.alias("c"), F.explode("own").alias("x")).select("node", "n", "root", "large", "c.l", "c.m", "x.s", "x.seeks")
+    own = materialize(fetched(members, docs, wide).select("node", "root", "line"), "line-members")
+    sets = own.select("node", "root", F.array_distinct(shingle_runs("line")).alias("own")).select("node", "root", F.size("own").cast("double").alias("n"), "own")
+    each = sets.select("node", "root", "n", F.explode("own").alias("s"))
+    told = each.groupBy("s").agg(F.count(F.lit(1)).alias("df"), F.min("root").alias("least"), F.max("root").alias("most"))
+    told = materialize(told.filter("least <> most").select("s", "df"), "line-told")
+    # counted from the end, where the shingles of one root only are missing
+    last = F.row_number().over(W.partitionBy("node").orderBy(F.desc("df"), F.desc("s")))
+    n = F.col("n")
+    ranked = each.join(told.hint("shuffle_hash"), "s").withColumn("last", last).filter(F.col("last") >= F.ceil(n * t - 1e-6))
+    posts = ranked.select("s", "node", "n", "root", (n + 1 - F.col("last")).alias("rank"), (F.col("last") >= F.ceil(n * 2 * t / (1 + t) - 1e-6)).alias("small"))
     posts = materialize(posts, "line-posts")
-    a = posts.filter("seeks").select("s", "l", "m", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "root", "large")))
-    b = posts.select("s", "l", "m", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "root", "large")))
-    fits = near_sizes(F.col("n_a"), F.col("n_b"), t) & (F.struct("n_a", "node_a") > F.struct(F.col("n_b").alias("n_a"), F.col("node_b").alias("node_a"))).eqNullSafe(F.col("large_a"))
-    met = a.join(b, ["s", "l", "m"]).filter((F.col("large_a") != F.col("large_b")) & (F.col("root_a") != F.col("root_b")) & fits)
-    return met.select(F.greatest("node_a", "node_b").alias("u"), F.least("node_a", "node_b").alias("v"), (F.col("n_a") + F.col("n_b")).alias("total")).distinct()
+    main = posts.groupBy("s", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("s").agg(F.max_by("root", F.struct("k", "root")).alias("main"))
+    a = posts.join(main, "s").filter("root <> main").select("s", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "root", "rank", "small")))
+    b = posts.select("s", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "root", "rank", "small")))
+    sized = (F.greatest("n_a", "n_b") * t - 1e-9 <= F.least("n_a", "n_b")) & F.when(F.col("n_a") < F.col("n_b"), F.col("small_a")).when(F.col("n_a") > F.col("n_b"), F.col("small_b")).otherwise(F.col("small_a") | F.col("small_b"))
+    # a shingle at these places leaves so many at most to share, beside those before it
+    left = F.least("n_a", "n_b") - 1 >= F.ceil((F.col("n_a") + F.col("n_b")) * t / (1 + t) - 1e-6) - F.least("rank_a", "rank_b")
+    met = a.join(b, "s").filter((F.col("root_a") != F.col("root_b")) & sized & left)
+    return met.select(F.greatest("node_a", "node_b").alias("u"), F.least("node_a", "node_b").alias("v")).distinct()
 
 
 def line_roots(distinct: DataFrame, docs: DataFrame, wide: bool, threshold: float = THRESHOLD) -> DataFrame:
-    """(node, root) of distinct lines (node, n, b1, b2, ...) in components of similar lines: each verified pair that
+    """(node, root) of distinct lines (node, b1, b2, ...) in components of similar lines: each verified pair that
     shares a band is in one component."""
-    links = materialize(verified(neighbour_pairs(distinct, threshold), docs, wide, threshold), "line-links")
+    shared = shared_bands(distinct)
+    links = materialize(verified(neighbour_pairs(shared), docs, wide, threshold), "line-links")
     roots = materialize(connected_components(links, "line-components"), "line-roots")
-    members = materialize(split_bands(distinct, roots), "line-split")
+    members = materialize(split_bands(shared, roots), "line-split")
+    if members.isEmpty():
+        return roots
     more = materialize(verified(prefix_pairs(members, docs, wide, threshold), docs, wide, threshold), "line-links")
     if more.isEmpty():
         return roots
@@ -171,25 +220,13 @@ def kept_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     line number. Lines of white space only are outside the comparison and stay; they are not listed here. Of a text of
     more than LINES lines, those beyond stay too."""
     wide = needs_wide(docs)
-    every = split_lines(docs).filter(~blank(F.col("line")) & (F.col("line_no") < LINES))
-    marked = every.select(F.md5("line").alias("digest"), place(wide).alias("node"), F.sort_array(shingle_hashes("line")).alias("h"))
-    size = F.size("h")
-    bands = [F.when(size > i, F.xxhash64(F.get("h", F.lit(i - 1)), F.get("h", F.lit(i)))) for i in range(1, SIGNATURE)]
-    bands[0] = F.when(size == 1, F.xxhash64(F.get("h", F.lit(0)))).otherwise(bands[0])
-    flat = marked.select("digest", "node", size.alias("n"), *(b.alias(f"b{i}") for i, b in enumerate(bands, 1)))
-    # equal lines have equal bands, so the least of each is that of all, in numbers that hash aggregation holds
-    distinct = flat.groupBy("digest").agg(*(F.min(c).alias(c) for c in flat.columns[1:])).drop("digest")
-    distinct = materialize(distinct, "lines")
+    distinct = distinct_lines(docs, wide)
     later = line_roots(distinct, docs, wide, threshold).filter("node <> root").select("node")
     first = distinct.select("node").join(later, "node", "left_anti")
     doc = F.floor(F.col("node") / F.lit(LINES)).cast("long") if wide else F.shiftright("node", 27)
     return first.select(doc.alias("doc_id"), F.pmod("node", F.lit(LINES)).cast("int").alias("line_no"))
 
 
-def blank(line: Column) -> Column:
-    return F.trim(F.translate(line, "\t\x0b\x0c\r", "    ")) == ""
-
-
 def line_decisions(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_lines (those compared) and removed, the numbers of the lines that go; a row per document."""
     keep = materialize(kept_lines(docs, threshold), "line-kept").groupBy("doc_id").agg(F.collect_list("line_no").alias("kept"))
@@ -209,15 +246,17 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     repeated rows the same line numbers stay in each. Rows without a doc_id keep their texts. Empty tables give empty
     results; further columns pass through whatever their names."""
     gone = line_decisions(docs, threshold).filter(F.size("removed") > 0).groupBy("doc_id").agg(F.first("removed").alias("removed"))
-    gone = gone.select(F.struct(F.col("doc_id").alias("id"), "removed").alias("__line_dedup"))
-    joined = docs.join(gone, docs["doc_id"].cast("long") == gone["__line_dedup.id"], "left")
-    rows = F.transform(F.split(docs["text"], "\n"), lambda line, i: F.struct(line.alias("line"), i.alias("i")))
-    stays = F.filter(rows, lambda r: ~F.array_contains(F.col("__line_dedup.removed"), r["i"]))
-    text = F.when(F.col("__line_dedup").isNull(), docs["text"]).otherwise(F.array_join(F.transform(stays, lambda r: r["line"]), "\n"))
-    out = joined.withColumn("text", text)
+    # all columns in one, so that no name of theirs meets one of ours
+    held = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"))
+    joined = held.join(gone, F.col("row.doc_id").cast("long") == F.col("doc_id"), "left")
+    rows = F.transform(F.split(F.col("row.text"), "\n"), lambda line, i: F.struct(line.alias("line"), i.alias("i")))
+    stays = F.filter(rows, lambda r: ~F.array_contains("removed", r["i"]))
+    text = F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(stays, lambda r: r["line"]), "\n"))
+    joined = joined.select("row", text.alias("text"))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return joined.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
