@@ -15,18 +15,20 @@ A line is named by its place, doc_id * 2**27 + line number, so the least name of
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import columns_or_null, connected_components, materialize
+from .common import columns_or_null, connected_components, materialize, shuffle_partitions
 
 SHINGLE, BANDS, THRESHOLD = 12, 6, 0.8
 VALUES = 2 * BANDS
 #: Of a line with more than ENOUGH shingles only the smaller hashes of each order's own sixteenth are looked at (some
 #: ENOUGH / 16 in each) and those of the first FIRST characters. Where repeats inside a line leave fewer than
 #: LEAST_OWN of the sixteenths with a hash, the line is looked at again, all of it.
-ENOUGH, FIRST, LEAST_OWN = 96, 16, 8
+ENOUGH, FIRST, LEAST_OWN = 64, 8, 8
 #: In a band a line is compared with so many before it, in the order of the next band.
 NEIGHBOURS = 3
 #: Bands of more lines are cut into runs of about so many by the next band's values; the prefix filters join these.
@@ -101,7 +103,7 @@ def signatures(shingles: DataFrame, key: str) -> DataFrame:
 
 
 def distinct_lines(docs: DataFrame, wide: bool) -> DataFrame:
-    """(node, b1, b2, ...) of the distinct lines, node the place of the first."""
+    """(node, n, b1, b2, ...) of the distinct lines, node the place of the first, n their places where a shingle begins."""
     every = split_lines(docs).filter(~blank(F.col("line")) & (F.col("line_no") < LINES))
     n = F.greatest(F.length("line") - SHINGLE + 1, F.lit(1))
     every = every.select(place(wide).alias("node"), F.unhex(F.md5("line")).alias("digest"), n.alias("n"), "line")
@@ -109,12 +111,13 @@ def distinct_lines(docs: DataFrame, wide: bool) -> DataFrame:
     each = exploded_shingles(every, "node", "digest", "n", "cut")
     low = F.col("h").bitwiseAND(F.lit(LOW)) <= F.col("cut")
     each = each.filter((F.col("at") <= 4 * FIRST) | (F.col("n") <= ENOUGH) | (low & (F.shiftrightunsigned("h", 60) < VALUES)))
-    names = ["node", *(f"b{i + 1}" for i in range(BANDS))]
+    names = ["node", "n", *(f"b{i + 1}" for i in range(BANDS))]
     first = materialize(signatures(each, "digest").withColumn("again", (F.col("n") > ENOUGH) & (F.col("own") < LEAST_OWN)).select("again", *names), "lines")
-    again = first.filter("again").select("node")
+    again = first.filter("again").select("node", "n")
     if again.isEmpty():
         return first.select(*names)
-    whole = exploded_shingles(fetched(again, docs, wide).withColumn("n", F.lit(0)), "node", "n").withColumnRenamed("node", "key").withColumn("node", F.col("key"))
+    texts = fetched(again, docs, wide).repartition(shuffle_partitions(docs.sparkSession), "node")
+    whole = exploded_shingles(texts, "node", "n").withColumnRenamed("node", "key").withColumn("node", F.col("key"))
     more = materialize(signatures(whole, "key").select(*names), "lines-again")
     return first.filter("not again").select(*names).union(more)
 
@@ -128,9 +131,9 @@ def fetched(needed: DataFrame, docs: DataFrame, wide: bool) -> DataFrame:
 
 
 def shared_bands(distinct: DataFrame) -> DataFrame:
-    """(band, k, node, next): the bands that several distinct lines share, k of them; next is the line's next band."""
+    """(band, k, node, n, next): the bands that several distinct lines share, k of them; next is the line's next band."""
     pairs = [F.struct(F.col(f"b{i + 1}").alias("band"), F.col(f"b{(i + 1) % BANDS + 1}").alias("next")) for i in range(BANDS)]
-    bands = distinct.select("node", F.explode(F.array(*pairs)).alias("x")).select("node", "x.band", "x.next")
+    bands = distinct.select("node", "n", F.explode(F.array(*pairs)).alias("x")).select("node", "n", "x.band", "x.next")
     several = materialize(bands.groupBy("band").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "line-bands")
     return materialize(bands.join(several.hint("shuffle_hash"), "band"), "line-shared")
 
@@ -140,37 +143,47 @@ def neighbour_pairs(shared: DataFrame) -> DataFrame:
     of at most NEIGHBOURS + 1 lines makes all its pairs."""
     run = F.when(F.col("k") > RUN, F.pmod("next", F.ceil(F.col("k") / RUN))).otherwise(F.lit(0))
     w = W.partitionBy("band", "run").orderBy("next", "node")
-    met = F.array_compact(F.array(*(F.lag("node", k).over(w) for k in range(1, NEIGHBOURS + 1))))
-    pairs = shared.withColumn("run", run).select("node", met.alias("met")).select("node", F.explode("met").alias("o"))
-    return pairs.select(F.greatest("node", "o").alias("u"), F.least("node", "o").alias("v")).distinct()
+    line = F.struct("n", "node")
+    met = F.array_compact(F.array(*(F.lag(line, k).over(w) for k in range(1, NEIGHBOURS + 1))))
+    pairs = shared.withColumn("run", run).select(line.alias("x"), met.alias("met")).select("x", F.explode("met").alias("y"))
+    return pairs.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, wide: bool, threshold: float = THRESHOLD) -> DataFrame:
-    """(u, v) of those pairs (u, v) whose lines reach the threshold by exact Jaccard."""
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(u, v) of those pairs (u, v) whose lines, among texts (node, line), reach the threshold by exact Jaccard. u: the
+    longer, so that a shorter v can often be told to be too short by its length."""
     pairs = materialize(pairs, "line-pairs")
-    needed = materialize(pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "node"), "line-needed")
-    lines = materialize(fetched(needed, docs, wide).select("node", "line"), "line-texts")
-    a, b = (lines.select(F.col("node").alias(x), F.col("line").alias(f"{x}_line")) for x in "uv")
+    a, b = (texts.select(F.col("node").alias(x), F.col("line").alias(f"{x}_line")) for x in "uv")
     # by groups of a few pairs, so that the shingles of u are made once for these
     group = F.pmod(F.xxhash64("v"), F.greatest(F.lit(1), F.ceil(F.col("pairs") / 16)))
     counted = pairs.join(pairs.groupBy("u").agg(F.count(F.lit(1)).alias("pairs")), "u").select("u", "v", group.alias("group"))
     held = counted.join(b, "v").groupBy("u", "group").agg(F.collect_list(F.struct("v", "v_line")).alias("others")).join(a, "u")
     each = held.select("u", F.array_distinct(shingle_runs("u_line")).alias("own"), F.explode("others").alias("x"))
-    each = each.select("u", "x.v", "own", F.array_distinct(shingle_runs(F.col("x.v_line"))).alias("other"))
+    places = F.greatest(F.length("x.v_line") - SHINGLE + 1, F.lit(1))
+    each = each.filter(places >= F.size("own") * threshold - 1e-9).select("u", "x.v", "own", F.array_distinct(shingle_runs(F.col("x.v_line"))).alias("other"))
     shared, total = F.size(F.array_intersect("own", "other")), F.size("own") + F.size("other")
     return each.filter(shared * (1 + threshold) >= total * threshold - 1e-9).select("u", "v")
 
 
-def split_bands(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """(node, root): the lines of bands that did not make all their pairs and still fall into several components."""
-    members = shared.filter(F.col("k") > NEIGHBOURS + 1).select("band", "node").join(roots, "node", "left")
-    members = materialize(members.withColumn("root", F.coalesce("root", "node")), "line-large")
-    split = members.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("z")).filter("a <> z").select("band")
-    return members.join(split, "band", "left_semi").select("node", "root").distinct()
+def split_bands(shared: DataFrame, roots: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(node, root, n): the lines of bands that did not make all their pairs and hold a line of another component, of
+    a size near enough to its own; n: their numbers of distinct shingles."""
+    large = materialize(shared.filter(F.col("k") > NEIGHBOURS + 1).select("band", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "line-large")
+    split = large.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("z")).filter("a <> z").select("band")
+    members = materialize(large.join(split, "band", "left_semi"), "line-split")
+    own = texts.join(members.select("node").distinct(), "node", "left_semi")
+    sizes = materialize(own.select("node", F.size(F.array_distinct(shingle_runs("line"))).cast("double").alias("n")), "line-sizes")
+    # by steps of sizes, so wide that sets of one step and the next are near enough, with those of both sides
+    step = F.floor(F.log("n") / F.lit(-math.log(threshold)))
+    sized = members.join(sizes, "node").withColumn("step", step.cast("int"))
+    near = sized.groupBy("band", "step").agg(F.min("root").alias("a"), F.max("root").alias("z"))
+    near = near.select("a", "z", "band", F.explode(F.array(*(F.col("step") + k for k in (-1, 0, 1)))).alias("step"))
+    near = near.groupBy("band", "step").agg(F.min("a").alias("a"), F.max("z").alias("z")).filter("a <> z").select("band", "step")
+    return sized.join(near, ["band", "step"], "left_semi").select("node", "root", "n").distinct()
 
 
-def prefix_pairs(members: DataFrame, docs: DataFrame, wide: bool, threshold: float = THRESHOLD) -> DataFrame:
-    """(u, v): all pairs of members (node, root) of different roots that can be similar enough, by prefix filters.
+def prefix_pairs(members: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(u, v): all pairs of members (node, root, n) of different roots that can be similar enough, by prefix filters.
 
     Sets of n and m <= n shingles that reach the threshold t share at least a = ceil(t (n + m) / (1 + t)). In one order
     of all shingles they have one in common among the first n - a + 1 of the one and m - a + 1 of the other: for the
@@ -179,9 +192,8 @@ def prefix_pairs(members: DataFrame, docs: DataFrame, wide: bool, threshold: flo
     gives to all its lines comes last, and is in no prefix of a smaller set where lines differ by more than the
     threshold allows. In a posting only lines outside its most frequent root look for partners."""
     t = threshold
-    own = materialize(fetched(members, docs, wide).select("node", "root", "line"), "line-members")
-    sets = own.select("node", "root", F.array_distinct(shingle_runs("line")).alias("own")).select("node", "root", F.size("own").cast("double").alias("n"), "own")
-    each = sets.select("node", "root", "n", F.explode("own").alias("s"))
+    own = materialize(texts.join(members, "node").select("node", "root", "n", "line"), "line-members")
+    each = own.select("node", "root", "n", F.explode(F.array_distinct(shingle_runs("line"))).alias("s"))
     told = each.groupBy("s").agg(F.count(F.lit(1)).alias("df"), F.min("root").alias("least"), F.max("root").alias("most"))
     told = materialize(told.filter("least <> most").select("s", "df"), "line-told")
     # counted from the end, where the shingles of one root only are missing
@@ -197,19 +209,21 @@ def prefix_pairs(members: DataFrame, docs: DataFrame, wide: bool, threshold: flo
     # a shingle at these places leaves so many at most to share, beside those before it
     left = F.least("n_a", "n_b") - 1 >= F.ceil((F.col("n_a") + F.col("n_b")) * t / (1 + t) - 1e-6) - F.least("rank_a", "rank_b")
     met = a.join(b, "s").filter((F.col("root_a") != F.col("root_b")) & sized & left)
-    return met.select(F.greatest("node_a", "node_b").alias("u"), F.least("node_a", "node_b").alias("v")).distinct()
+    first = F.struct("n_a", "node_a") > F.struct(F.col("n_b").alias("n_a"), F.col("node_b").alias("node_a"))
+    return met.select(F.when(first, F.col("node_a")).otherwise(F.col("node_b")).alias("u"), F.when(first, F.col("node_b")).otherwise(F.col("node_a")).alias("v")).distinct()
 
 
 def line_roots(distinct: DataFrame, docs: DataFrame, wide: bool, threshold: float = THRESHOLD) -> DataFrame:
-    """(node, root) of distinct lines (node, b1, b2, ...) in components of similar lines: each verified pair that
+    """(node, root) of distinct lines (node, n, b1, b2, ...) in components of similar lines: each verified pair that
     shares a band is in one component."""
     shared = shared_bands(distinct)
-    links = materialize(verified(neighbour_pairs(shared), docs, wide, threshold), "line-links")
+    texts = materialize(fetched(shared.select("node").distinct(), docs, wide).select("node", "line"), "line-texts")
+    links = materialize(verified(neighbour_pairs(shared), texts, threshold), "line-links")
     roots = materialize(connected_components(links, "line-components"), "line-roots")
-    members = materialize(split_bands(shared, roots), "line-split")
+    members = materialize(split_bands(shared, roots, texts, threshold), "line-near")
     if members.isEmpty():
         return roots
-    more = materialize(verified(prefix_pairs(members, docs, wide, threshold), docs, wide, threshold), "line-links")
+    more = materialize(verified(prefix_pairs(members, texts, threshold), texts, threshold), "line-links")
     if more.isEmpty():
         return roots
     return connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more), "line-components")
