@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, insort
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -21,49 +22,50 @@ SHARD = 65_536
 def pack_lengths(lengths: np.ndarray, capacities=CAPACITIES, overhead: int = OVERHEAD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bin, offset in the bin and capacity of the bin of each length (all positive, none above the largest capacity).
 
-    The longest piece left opens a bin. Each permitted capacity is tried: best fit fills it with the longest pieces
-    that still fit, and the one of least cost per token (length after downsizing plus overhead) is opened, the smaller
-    on a tie. The same filling is repeated while the pieces for it last. Every bin ends at the least capacity that
-    holds its contents."""
+    Pieces go from the longest to the shortest, equal ones in their order. Each goes to the open bin with the least room
+    that holds it, of several the one opened first. Where none holds it, a bin is opened: of the permitted capacities
+    the one of least cost (capacity and overhead) for each token that it can expect to hold, the smaller on a tie. It
+    can expect the piece and, for the room beside it, the later pieces that fit there, less what the bins that are open
+    have room for. Every bin ends at the least capacity that holds its contents."""
     caps = sorted(capacities)
-    order = np.lexsort((np.arange(len(lengths)), lengths))
-    values, first, counts = np.unique(lengths[order], return_index=True, return_counts=True)
-    open_, left, start = values.tolist(), dict(zip(values.tolist(), counts.tolist())), dict(zip(values.tolist(), first.tolist()))
-    bins, offsets, sizes = (np.zeros(len(lengths), np.int64) for _ in range(3))
-    n_bins = 0
-    while open_:
-        best = None
-        for c in caps[bisect_right(caps, open_[-1] - 1) :]:
-            rest, at, filling = c - open_[-1], len(open_) - 1, {open_[-1]: 1}
-            at = bisect_right(open_, rest) - 1
-            while rest > 0 and at >= 0:
-                x = open_[at]
-                k = min(left[x] - filling.get(x, 0), rest // x)
-                if k > 0:
-                    filling[x] = filling.get(x, 0) + k
-                    rest -= k * x
-                at = min(at - 1, bisect_right(open_, rest) - 1)
-            used = c - rest
-            final = caps[bisect_right(caps, used - 1)]
-            cost = (final + overhead) / used
-            if best is None or cost < best[0]:
-                best = cost, final, filling
-        _, final, filling = best
-        times = min(left[x] // k for x, k in filling.items())
-        offset = 0
-        for x in sorted(filling, reverse=True):
-            k = filling[x]
-            rows = order[start[x] : start[x] + k * times].reshape(times, k)
-            bins[rows] = n_bins + np.arange(times)[:, None]
-            offsets[rows] = offset + x * np.arange(k)[None, :]
-            sizes[rows] = final
-            offset += k * x
-            start[x] += k * times
-            left[x] -= k * times
-            if not left[x]:
-                open_.pop(bisect_right(open_, x) - 1)
-        n_bins += times
-    return bins, offsets, sizes
+    order = np.lexsort((-np.arange(len(lengths)), lengths))
+    ascending = lengths[order]
+    mass = np.r_[0, np.cumsum(ascending)].tolist()
+    fitting = {r: int(np.searchsorted(ascending, r, side="right")) for c in caps for r in (c - np.unique(ascending)).tolist()}
+    bins, offsets = (np.zeros(len(lengths), np.int64) for _ in range(2))
+    used: list[int] = []
+    rooms: list[int] = []  # distinct rooms of open bins, ascending
+    at_room: dict[int, list[int]] = {}
+    open_room = 0
+    for i in range(len(lengths) - 1, -1, -1):
+        x, row = int(ascending[i]), order[i]
+        k = bisect_left(rooms, x)
+        if k < len(rooms):
+            room = rooms[k]
+            number = heappop(at_room[room])
+            if not at_room[room]:
+                del at_room[room], rooms[k]
+            open_room -= room
+        else:
+            best = None
+            for c in caps[bisect_left(caps, x) :]:
+                more = max(0, mass[min(i, fitting[c - x])] - open_room)
+                cost = (c + overhead) / (x + min(c - x, more))
+                if best is None or cost < best[0]:
+                    best = cost, c
+            number, room = len(used), best[1]
+            used.append(0)
+        bins[row], offsets[row] = number, used[number]
+        used[number] += x
+        room -= x
+        open_room += room
+        if room:
+            if room not in at_room:
+                insort(rooms, room)
+                at_room[room] = []
+            heappush(at_room[room], number)
+    final = np.array(caps, np.int64)[np.searchsorted(caps, used)] if used else np.empty(0, np.int64)
+    return bins, offsets, final[bins]
 
 
 def word_counts(docs: DataFrame) -> DataFrame:

@@ -78,6 +78,50 @@ def test_packing():
     assert sorted(c.tolist()) == [512, 512, 8192]
 
 
+def plain_best_fit(lengths, capacities, overhead):
+    """The rule of pack_lengths step by step, with all open bins looked at for each piece."""
+    todo = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
+    bins, out = [], {}
+    for k, i in enumerate(todo):
+        x, later = lengths[i], [lengths[j] for j in todo[k + 1 :]]
+        fits = [(cap - used, b) for b, (cap, used) in enumerate(bins) if cap - used >= x]
+        if fits:
+            b = min(fits)[1]
+        else:
+            room = sum(cap - used for cap, used in bins)
+            costs = []
+            for c in sorted(c for c in capacities if c >= x):
+                more = max(0, sum(y for y in later if y <= c - x) - room)
+                costs.append(((c + overhead) / (x + min(c - x, more)), c))
+            b = len(bins)
+            bins.append((min(costs)[1], 0))
+        out[i] = b, bins[b][1]
+        bins[b] = bins[b][0], bins[b][1] + x
+    return out, [min(c for c in capacities if c >= used) for _, used in bins]
+
+
+def test_packing_is_best_fit():
+    rng = np.random.default_rng(3)
+    other = 0
+    for k in range(120):
+        caps = [(40,), (16, 40), (8, 16, 32, 64)][k % 3]
+        n = rng.integers(1, max(caps) + 1, rng.integers(0, 60))
+        want, final = plain_best_fit(n.tolist(), caps, 3)
+        bins, offsets, sizes = packing.pack_lengths(n, caps, 3)
+        assert [(int(b), int(o)) for b, o in zip(bins, offsets)] == [want[i] for i in range(len(n))]
+        assert sizes.tolist() == [final[want[i][0]] for i in range(len(n))]
+        if len(caps) == 1:
+            # the first open bin that holds a piece, in place of the fullest, gives other bins
+            first, rooms = [], []
+            for i in sorted(range(len(n)), key=lambda i: (-n[i], i)):
+                at = next((b for b, r in enumerate(rooms) if r >= n[i]), len(rooms))
+                rooms += [caps[0]] * (at == len(rooms))
+                rooms[at] -= n[i]
+                first.append((i, at))
+            other += dict(first) != {i: b for i, (b, _) in want.items()}
+    assert other > 10
+
+
 def test_packing_table(spark, nothing, clashing):
     rows = packing.best_fit_packing(packing.word_counts(clashing)).collect()
     words = {r.doc_id: len((r.text or "").encode().split()) for r in clashing.collect()}
