@@ -14,8 +14,9 @@ from .common import columns_or_null, connected_components, local_components, mat
 
 #: A pair within MAX_BITS differing bits differs in at most MAX_BITS of 8 bytes, so it shares at least MIN_MATCHES.
 MAX_BITS, MIN_MATCHES = 4, 4
-#: The postings: every choice of MIN_MATCHES byte positions.
-POSITIONS = list(combinations(range(8), MIN_MATCHES))
+#: Postings are keyed by the bytes at so many positions together: single bytes would be 8 x 256 postings, each with a
+#: part of the whole that does not shrink as the input grows. Beyond WIDE fingerprints one position more keeps postings short.
+TOGETHER, WIDE = 3, 1 << 26
 #: Up to so many fingerprints of one posting are compared in blocks; beyond, differing bits are enumerated.
 BLOCKWISE = 20_000
 
@@ -51,24 +52,27 @@ def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
     return columns_or_null(docs, doc_id="long", text="binary").mapInArrow(run, "doc_id long, fp long")
 
 
+def shared_bytes(x: np.ndarray) -> np.ndarray:
+    """The number of zero bytes of each exclusive or: the positional bytes that a pair shares."""
+    low = np.uint64(0x7F7F7F7F7F7F7F7F)
+    return np.bitwise_count(~(((x & low) + low) | x | low))
+
+
 def posting_links(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links that span every group of near fingerprints of one posting (distinct values, shared bytes given)."""
+    """Links that span every group of near fingerprints of one posting (distinct values, some bytes shared): pairs whose
+    tally of shared positional bytes reaches MIN_MATCHES are verified by their bits."""
     n = len(fps)
-    if n == 2:
-        near = np.bitwise_count(fps[0] ^ fps[1]) <= MAX_BITS
-        return (fps[1:], fps[:1]) if near else (fps[:0], fps[:0])
     a, b = [], []
     if n <= BLOCKWISE:
         step = max(1, 2_000_000 // n)
         for i in range(0, n, step):
             x = fps[i : i + step, None] ^ fps[None, :]
-            u, v = np.nonzero(np.bitwise_count(x) <= MAX_BITS)
+            u, v = np.nonzero(shared_bytes(x) >= MIN_MATCHES)
             keep = u + i > v
             u, v = u[keep] + i, v[keep]
-            shared = ((fps[u] ^ fps[v])[:, None].view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
-            ok = shared >= MIN_MATCHES
-            a.append(u[ok])
-            b.append(v[ok])
+            near = np.bitwise_count(fps[u] ^ fps[v]) <= MAX_BITS
+            a.append(u[near])
+            b.append(v[near])
     else:
         free = [i for i in range(64) if np.any((fps ^ fps[0]) >> np.uint64(i) & np.uint64(1))]
         for k in range(1, MAX_BITS + 1):
@@ -86,12 +90,13 @@ def posting_links(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def links(fps: DataFrame) -> DataFrame:
     """(u, v) over distinct fingerprints (fp): links whose closure joins all pairs of MAX_BITS or fewer differing bits.
 
-    Each posting is keyed by MIN_MATCHES byte positions and their bytes, so the fingerprints of one posting share at
-    least that many positional bytes, and each near pair meets in one posting at least. Rows stream through a task in
-    posting order; links of one posting span it like a tree, so a posting never yields all its pairs."""
+    Each posting is keyed by TOGETHER byte positions and their bytes. A near pair shares MIN_MATCHES bytes and so meets
+    in one posting at least; the tally of all 8 positions tells pairs that share no more than the key from those that
+    go on to be verified. Rows stream through a task in posting order; links of one posting span it like a tree, so a
+    posting never yields all its pairs."""
     byte = [F.shiftrightunsigned("fp", 8 * i).bitwiseAND(F.lit(255)) for i in range(8)]
     keys = []
-    for k, where in enumerate(POSITIONS):
+    for k, where in enumerate(combinations(range(8), TOGETHER if fps.count() <= WIDE else TOGETHER + 1)):
         key = F.lit(k << 32)
         for j, p in enumerate(where):
             key = key.bitwiseOR(F.shiftleft(byte[p], 8 * j))
@@ -107,6 +112,7 @@ def links(fps: DataFrame) -> DataFrame:
             out = []
             two = start[size == 2]
             x, y = fps[two], fps[two + 1]
+            x, y = (z[shared_bytes(x ^ y) >= MIN_MATCHES] for z in (x, y))
             near = np.bitwise_count(x ^ y) <= MAX_BITS
             out.append((np.maximum(x, y)[near], np.minimum(x, y)[near]))
             for s, e in zip(start[size > 2].tolist(), end[size > 2].tolist()):
