@@ -3,7 +3,8 @@
 Items are partitioned by their number of distinct shingles. An item of n shingles is contained at the threshold t in a
 text that has at least ceil(t n) of them, so it lacks at most n - ceil(t n). The signature of an item is its
 n - ceil(t n) + 1 least shingles by hash: a text that contains the item holds at least one of them, whatever its own
-length. The search therefore misses nothing. What it finds is verified by counting the item's shingles in the text."""
+length. Texts are searched for signatures only, by the hashes of their runs of words, so the search misses nothing and
+the shingles of a text are made only where it found something. That is verified by counting the item's shingles."""
 
 from __future__ import annotations
 
@@ -31,15 +32,39 @@ def shingles(w: str | Column, size: int = SHINGLE) -> Column:
     return F.when(F.size(w) > 0, runs).otherwise(F.array().cast("array<string>"))
 
 
-def item_signatures(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """item_id, shingle, n_item, need and in_signature: the distinct shingles of each item."""
+def run_hash(w: str, i: Column, size: int = SHINGLE) -> Column:
+    """The hash of the words i, i + 1, ... of w; fewer words where w ends."""
+    return F.xxhash64(*(F.get(w, i + k) for k in range(size)))
+
+
+def item_shingles(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """item_id, shingle, h, n_item, need, part and in_signature: the distinct shingles of each item; part: its
+    partition by size, of all items that need from 2 ** part shingles to below 2 ** (part + 1)."""
     own = columns_or_null(items, item_id="long", text="string").filter("item_id is not null").select("item_id", words("text").alias("w"))
-    each = own.select("item_id", F.explode(shingles("w")).alias("shingle")).distinct()
-    n = each.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_item"), F.sort_array(F.collect_list(F.xxhash64("shingle"))).alias("hashes"))
-    n = n.withColumn("need", F.ceil(F.col("n_item") * F.lit(threshold) - 1e-9))
-    # the partition by size fixes how many of the least hashes make the signature
+    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - SHINGLE, F.lit(0)))
+    runs = own.filter(F.size("w") > 0).select("item_id", "w", F.explode(starts).alias("i"))
+    each = runs.select("item_id", F.array_join(F.slice("w", F.col("i") + 1, SHINGLE), " ").alias("shingle"), run_hash("w", F.col("i")).alias("h")).distinct()
+    n = each.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_item"), F.sort_array(F.collect_list("h")).alias("hashes"))
+    n = n.withColumn("need", F.ceil(F.col("n_item") * F.lit(threshold) - 1e-9)).withColumn("part", F.floor(F.log2("need")).cast("int"))
+    # the size fixes how many of the least hashes make the signature
     n = n.withColumn("cut", F.element_at("hashes", (F.col("n_item") - F.col("need") + 1).cast("int")))
-    return each.join(n.drop("hashes"), "item_id").select("item_id", "shingle", "n_item", "need", (F.xxhash64("shingle") <= F.col("cut")).alias("in_signature"))
+    return each.join(n.drop("hashes"), "item_id").select("item_id", "shingle", "h", "n_item", "need", "part", (F.col("h") <= F.col("cut")).alias("in_signature"))
+
+
+def where_small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_SHINGLES else df
+
+
+def candidates(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """(doc_id, item_id): texts (doc_id, w) with a shingle of an item's signature, in the partitions by size that a text
+    of so many words can hold. Every text that contains an item to the threshold is among them, and few others."""
+    signature = known.filter("in_signature").select("h", "part", "need", "item_id").distinct()
+    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - SHINGLE, F.lit(0)))
+    largest = F.floor(F.log2(F.greatest(F.size("w") - SHINGLE + 1, F.lit(1)))).cast("int")
+    # no words: a run of nulls, which no signature holds
+    each = texts.select("doc_id", "w", largest.alias("largest"), F.explode(starts).alias("i"))
+    each = each.select("doc_id", "largest", run_hash("w", F.col("i")).alias("h"))
+    return each.join(where_small(signature), "h").filter("part <= largest").select("doc_id", "item_id").distinct()
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -49,18 +74,15 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     words is one shingle of all of them; without words (null, empty, only punctuation) it matches nothing. Whole texts
     are searched, however long. Repeated rows of one doc_id count as one text; rows without an id are left out, as no
     pair can name them. An empty table gives an empty result; further columns are ignored."""
-    known = materialize(item_signatures(items, threshold), "benchmark")
-    small = known.count() <= BROADCAST_SHINGLES
+    known = materialize(item_shingles(items, threshold), "benchmark")
     own = columns_or_null(docs, doc_id="long", text="string").filter("doc_id is not null")
-    if small:
-        known = F.broadcast(known)
-    # texts shorter than a shingle only match items that are as short: their run of words is the shingle
-    each = own.select("doc_id", words("text").alias("w")).select("doc_id", F.explode(shingles("w")).alias("shingle"))
-    hits = each.join(known, "shingle")
-    pairs = hits.groupBy("doc_id", "item_id", "n_item", "need", "shingle").agg(F.max("in_signature").alias("found"))
-    pairs = pairs.groupBy("doc_id", "item_id", "n_item", "need").agg(F.count(F.lit(1)).alias("n_shared"), F.max("found").alias("found"))
-    sure = pairs.filter("found and n_shared >= need")
-    return sure.select("doc_id", "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))
+    found = materialize(candidates(own.select("doc_id", words("text").alias("w")), known), "benchmark-candidates")
+    # verification: shingles are made of the texts found, and counted for the items found in them
+    needed = where_small(found.select("doc_id").distinct())
+    each = own.join(needed, "doc_id").select("doc_id", words("text").alias("w")).select("doc_id", F.explode(shingles("w")).alias("shingle"))
+    hits = each.join(where_small(known.select("shingle", "item_id", "n_item", "need")), "shingle").distinct()
+    pairs = hits.join(found, ["doc_id", "item_id"]).groupBy("doc_id", "item_id", "n_item", "need").agg(F.count(F.lit(1)).alias("n_shared"))
+    return pairs.filter("n_shared >= need").select("doc_id", "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -112,6 +112,21 @@ def test_links_of_one_posting(monkeypatch):
         assert plain_components(range(60), [(place[int(a)], place[int(b)]) for a, b in zip(u, v)]) == want
 
 
+def test_tallies_reject_pairs():
+    """Pairs of one posting that share its three bytes only are not verified; the tally equals a plain count."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
+    x[::3] &= np.uint64(0x00FF00FFFF000000)
+    plain = (x[:, None].view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
+    assert (simhash.shared_bytes(x) == plain).all()
+    posting = (rng.integers(0, 1 << 40, 300, dtype=np.uint64) << np.uint64(24)) | np.uint64(0x123456)
+    tallies = simhash.shared_bytes(posting[:, None] ^ posting[None, :])
+    assert tallies.min() == 3 and (tallies < simhash.MIN_MATCHES).mean() > 0.9
+    for _ in range(200):
+        bits = rng.choice(64, 4, replace=False)
+        assert simhash.shared_bytes(np.array([sum(1 << int(b) for b in bits)], np.uint64))[0] >= simhash.MIN_MATCHES
+
+
 def test_links_find_all_near_pairs(spark):
     rng = random.Random(4)
     fps = [rng.getrandbits(64) for _ in range(40)]
@@ -290,6 +305,25 @@ def test_decontamination(spark, corpus, docs):
     assert kept == {i for i, _ in corpus} - {d for d, _ in want}
 
 
+def test_candidates_come_from_signatures(spark):
+    """A text of a few shingles of an item is verified only where one of them is in the signature."""
+    rng = random.Random(12)
+    item = [f"w{rng.randrange(10**6)}" for _ in range(104)]
+    rows = [(a, " ".join(item[a : a + 5])) for a in range(100)] + [(500, " ".join(item)), (501, " ".join(item[:90])), (502, " ".join(item[:60]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = decontamination.item_shingles(spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))
+    signature = {r.shingle for r in known.filter("in_signature").collect()}
+    assert len(signature) == 21
+    texts = docs.select("doc_id", decontamination.words("text").alias("w"))
+    got = {r.doc_id for r in decontamination.candidates(texts, known).collect()}
+    # short texts have too few words for the item's partition by size; of long ones those with a signature shingle
+    assert {500, 501} <= got and not got & set(range(100))
+    filler = " ".join(f"x{k}" for k in range(200))
+    longer = spark.createDataFrame([(i, f"{t} {filler}") for i, t in rows[:100]], "doc_id long, text string")
+    got = {r.doc_id for r in decontamination.candidates(longer.select("doc_id", decontamination.words("text").alias("w")), known).collect()}
+    assert got == {i for i, t in rows[:100] if t in signature}
+
+
 def test_decontamination_edges(spark, nothing, clashing, monkeypatch):
     items = spark.createDataFrame([(1, "one two three four five six seven")], "item_id long, text string")
     assert decontamination.contaminated(nothing, items).count() == 0
