@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import columns_or_null, materialize
-from .decontamination import shingles, words
+from .decontamination import run_hash, shingles, words
 
 UNKNOWN = "unknown"
 #: Lines of the corpus that the unknown class is trained on, in hash order of their places.
@@ -91,14 +91,17 @@ def notice_paragraphs(docs: DataFrame, templates: list[tuple[str, str]]) -> Data
     pairs = F.broadcast(docs.sparkSession.createDataFrame([(g, of) for g, of in known_grams(templates) if of], "gram string, templates array<int>"))
     sizes = [max(1, len(template_pairs(text))) for _, text in templates]
 
-    def holding(grams: DataFrame, *key: str) -> DataFrame:
+    def holding(grams: DataFrame, *key: str, pairs: DataFrame = pairs) -> DataFrame:
         hits = grams.join(pairs, "gram").dropDuplicates([*key, "gram"]).select(*key, F.explode("templates").alias("t"))
         least = F.element_at(F.array(*(F.lit(CONFIRM * n - 1e-9) for n in sizes)), F.col("t") + 1)
         return hits.groupBy(*key, "t").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= least).select(*key).distinct()
 
     own = columns_or_null(docs, doc_id="long", text="string").filter("text is not null and doc_id is not null").withColumn("version", F.xxhash64("text"))
-    # the pairs of a paragraph are among those of its text
-    texts = holding(own.select("doc_id", "version", words("text").alias("w")).select("doc_id", "version", F.explode(shingles("w", 2)).alias("gram")), "doc_id", "version")
+    # the pairs of a paragraph are among those of its text, which are looked up by their hashes
+    two = F.split("gram", " ")
+    hashed = F.broadcast(pairs.select(F.xxhash64(two[0], two[1]).alias("gram"), "templates"))
+    runs = own.select("doc_id", "version", words("text").alias("w")).select("doc_id", "version", "w", F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - 2, F.lit(0)))).alias("i"))
+    texts = holding(runs.select("doc_id", "version", run_hash("w", F.col("i"), 2).alias("gram")), "doc_id", "version", pairs=hashed)
     found = materialize(own.join(texts, ["doc_id", "version"], "left_semi").dropDuplicates(["doc_id", "version"]), "license-texts")
     lines = numbered_lines(found).withColumn("w", words("line")).drop("line")
     at = W.partitionBy("doc_id", "version").orderBy("line_no")
@@ -197,15 +200,19 @@ def unlabelled(docs: DataFrame, notices: DataFrame, sample: int) -> list[list[st
     """The words of so many lines, in hash order of their places, that stand in no paragraph of notices and have no word
     starting with licen or copyright."""
     letters = r"\p{L}\p{M}\p{N}"
-    each = numbered_lines(docs).filter(F.col("line").rlike(f"[{letters}]") & ~F.lower("line").rlike(f"(?<![{letters}])(licen|copyright)"))
-    order, most = [F.xxhash64("doc_id", "line_no"), "doc_id", "line_no", "version"], sample
+    place = F.shiftrightunsigned(F.xxhash64("doc_id", "line_no"), 1)
+    every = numbered_lines(docs).withColumn("place", place)
+    order, n = ["place", "doc_id", "line_no", "version"], max(1, docs.count())
+    share = sample / (4 * n)
     while True:
-        drawn = materialize(each.orderBy(*order).limit(most), "license-sample")
+        # the first lines of the order, about as many as are asked for, so that few are sorted
+        near = every if share >= 1 else every.filter(F.col("place") < F.lit(int(share * (1 << 63))))
+        drawn = near.filter(F.col("line").rlike(f"[{letters}]") & ~F.lower("line").rlike(f"(?<![{letters}])(licen|copyright)"))
         kept = drawn.join(notices.select("doc_id", "version", "line_no"), ["doc_id", "version", "line_no"], "left_anti")
         rows = kept.orderBy(*order).limit(sample).select(words("line")).collect()
-        if len(rows) >= sample or drawn.count() < most:
+        if len(rows) >= sample or share >= 1:
             return [list(r[0]) for r in rows]
-        most *= 4
+        share *= 4
 
 
 def spans(grams: DataFrame, templates: list[tuple[str, str]]) -> DataFrame:
