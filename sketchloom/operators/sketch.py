@@ -20,14 +20,30 @@ from ..plans.semantics import Machine, pure
 CELLS = "z int, x int, y int, cnt long, ovf boolean"
 
 
+UNORDERED = "sketchloom.unordered"
+
+
 def stream_of(df: DataFrame, item: Column | str, *order: Column | str) -> DataFrame:
     """(seq, e) of any table: seq is the rank-free order struct of the given columns; rows without an item are dropped.
 
-    A struct of the order columns sorts as they do, so no global numbering is needed."""
+    A struct of the order columns sorts as they do, so no global numbering is needed. Rows of equal order follow each
+    other by item. Without order columns only programs whose effects ask for no order can be built."""
     e = F.col(item) if isinstance(item, str) else item
     cols = [F.col(o) if isinstance(o, str) else o for o in order]
     seq = F.struct(*(c.alias(f"k{i}") for i, c in enumerate(cols))) if cols else F.lit(None).cast("long")
-    return df.select(seq.alias("seq"), e.cast("string").alias("e")).filter("e is not null")
+    return df.select(seq.alias("seq", metadata={} if cols else {UNORDERED: True}), e.cast("string").alias("e")).filter("e is not null")
+
+
+def need_order(stream: DataFrame) -> None:
+    if stream.schema["seq"].metadata.get(UNORDERED):
+        raise ValueError("the program's effects depend on the order of items, and the stream has no order columns")
+
+
+def in_full_order(stream: DataFrame) -> DataFrame:
+    """(seq, e) with seq unique: order, item and the number among rows equal in both, which are the same to a program."""
+    need_order(stream)
+    each = stream.groupBy("seq", "e").agg(F.count(F.lit(1)).alias("n")).select("seq", "e", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k"))
+    return each.select(F.struct("seq", "e", "k").alias("seq"), "e")
 
 
 def with_places(df: DataFrame, program: Program, keys: list[Node], item: str = "e") -> DataFrame:
@@ -72,7 +88,8 @@ def frequencies(stream: DataFrame) -> DataFrame:
 
 
 def build_cells(stream: DataFrame, program: Program, plan: Plan | None = None) -> DataFrame:
-    """The cells after the whole stream (seq, e). seq orders items where the program's effects depend on order."""
+    """The cells after the whole stream (seq, e). seq orders items where the program's effects depend on order; items of
+    equal seq follow each other by name, and a stream of stream_of without order columns is refused."""
     program = program.simplified()
     plan = plan or classify(program)
     if plan.overall == "C4":
@@ -120,6 +137,7 @@ def merge_cells(*parts: DataFrame) -> DataFrame:
 def fold_cells(stream: DataFrame, program: Program, by: str | None = None) -> DataFrame:
     """C4: the machine applied to the items in order. One task per sketch; `by` names a column of sketches, each folded
     by itself. A task streams its rows and holds only cells, so its memory does not grow with the stream."""
+    need_order(stream)
 
     def run(batches):
         now, machine = None, None
@@ -145,9 +163,9 @@ def fold_cells(stream: DataFrame, program: Program, by: str | None = None) -> Da
             yield cells()
 
     if by:
-        ordered = stream.select(F.col(by).cast("string").alias("sketch_id"), "seq", "e").repartition("sketch_id").sortWithinPartitions("sketch_id", "seq")
+        ordered = stream.select(F.col(by).cast("string").alias("sketch_id"), "seq", "e").repartition("sketch_id").sortWithinPartitions("sketch_id", "seq", "e")
         return ordered.select("sketch_id", "e").mapInArrow(run, "sketch_id string, " + CELLS)
-    return stream.repartition(1).sortWithinPartitions("seq").select("e").mapInArrow(run, CELLS)
+    return stream.repartition(1).sortWithinPartitions("seq", "e").select("e").mapInArrow(run, CELLS)
 
 
 def histories(stream: DataFrame, program: Program, plan: Plan) -> dict[int, DataFrame]:
@@ -155,7 +173,9 @@ def histories(stream: DataFrame, program: Program, plan: Plan) -> dict[int, Data
     needed = {z for z in plan.order if plan.classes[z] == "C3"}
     needed |= {r.args[1].value for z in list(needed) for e in plan.effects[z] for r in e.reads()}
     keys = list(dict.fromkeys([e.key for z in plan.effects for e in plan.effects[z]] + [r.args[0] for z in plan.effects for e in plan.effects[z] for r in e.reads()]))
-    base = with_places(stream.select("seq", "e"), program, keys)
+    # each distinct item is hashed once, and its places joined to the rows
+    places = with_places(stream.select("e").distinct(), program, keys)
+    base = in_full_order(stream.select("seq", "e")).join(places, "e")
     out: dict[int, DataFrame] = {}
     for z in plan.order:
         if z in needed:
@@ -172,15 +192,16 @@ def plane_history(base: DataFrame, program: Program, plan: Plan, z: int, keys: l
         if lane not in upstream:  # a plane that nothing writes
             rows = rows.withColumns({f"r{at}": F.lit(0).cast("long") for at in own})
             continue
-        asked = F.array(*(F.struct(F.col(f"x{keys.index(r.args[0])}_{lane}").alias("x"), F.col(f"y{keys.index(r.args[0])}_{lane}").alias("y"), F.lit(at).alias("at")) for at, r in own.items()))
-        events = base.select("seq", F.explode(asked).alias("q")).select("q.x", "q.y", "seq", "q.at", F.lit(None).cast("long").alias("v"), F.lit(True).alias("asks"))
-        told = upstream[lane].select("x", "y", "seq", "at", (F.col("cnt") * 2 + F.col("ovf").cast("long")).alias("v"), F.lit(False).alias("asks"))
-        w = W.partitionBy("x", "y").orderBy("seq", "at").rowsBetween(W.unboundedPreceding, 0)
-        seen = events.unionByName(told).withColumn("v", F.last("v", ignorenulls=True).over(w)).filter("asks")
-        state = F.coalesce("v", F.lit(0).cast("long"))
-        value = {at: (F.call_function("div", state, F.lit(2).cast("long")) if r.name in ("query_count", "query_date") else state % 2) for at, r in own.items()}
-        values = seen.groupBy("seq").agg(*(F.max(F.when(F.col("at") == at, value[at])).alias(f"r{at}") for at in own))
-        rows = rows.join(values, "seq")
+        told = upstream[lane].select(F.col("x").alias("at_x"), F.col("y").alias("at_y"), F.col("seq").alias("at_seq"), "at", (F.col("cnt") * 2 + F.col("ovf").cast("long")).alias("v"))
+        w = W.partitionBy("at_x", "at_y").orderBy("at_seq", "at").rowsBetween(W.unboundedPreceding, 0)
+        for at, r in own.items():
+            # the rows go through the window themselves, so what they read need not be joined to them
+            k = keys.index(r.args[0])
+            asks = rows.select("*", F.col(f"x{k}_{lane}").alias("at_x"), F.col(f"y{k}_{lane}").alias("at_y"), F.col("seq").alias("at_seq"), F.lit(at).alias("at"), F.lit(None).cast("long").alias("v"))
+            seen = asks.unionByName(told, allowMissingColumns=True).withColumn("v", F.last("v", ignorenulls=True).over(w)).filter("seq is not null")
+            state = F.coalesce("v", F.lit(0).cast("long"))
+            value = F.call_function("div", state, F.lit(2).cast("long")) if r.name in ("query_count", "query_date") else state % 2
+            rows = seen.withColumn(f"r{at}", value).drop("at_x", "at_y", "at_seq", "at", "v")
     if z in plan.own:
         return own_history(rows, program, es, z, keys, sorted(reads))
 
