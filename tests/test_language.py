@@ -5,7 +5,7 @@ import random
 import pytest
 from programs import PROGRAMS, SALTED
 
-from sketchloom.plans.analyze import families, legality, lint, mechanism, mechanism_distance, motif, motif_distance, numeric_risk, role_entropy, structural_penalty
+from sketchloom.plans.analyze import MECHANISM_PROGRAMS, architecture, families, legality, lint, mechanism, mechanism_distance, motif, motif_distance, numeric_risk, role_entropy, structural_penalty
 from sketchloom.plans.grammar import BUSY, MAIN, WIDE, Grammar, ProgramError
 from sketchloom.plans.nodes import Call, Const, Item
 from sketchloom.plans.program import Program, classify
@@ -120,7 +120,9 @@ def test_classes_of_examples():
 
 def test_legality_penalty_and_lint():
     p = PROGRAMS["triple"][1]
-    assert structural_penalty(p).penalty == 0 and not lint(p) and numeric_risk(p)[0] > 0
+    assert structural_penalty(p).penalty == 0 and not lint(p) and numeric_risk(p) == (0.0, [])
+    grows = Program.parse(SALTED, "base(update_count(e, 0, safe_mul(query_count(e, 0), 3)), update_count(e, 1, safe_div(9, query_count(e, 2))), update_count(e, 2, query_count(e, 2)))", "base_sel(0, safe_mul(query_date(e, 0), query_date(e, 1)), 1, 2)")
+    assert numeric_risk(grows) == (2.0 + 1.0 + 3.0 + 2.0, ["wide_estimate", "variable_divisor", "self_product", "self_sum"])
     bad = Program(p.init, Call("base", (Call("query_date", (Item(), Const(0))), Const(0), Const(0))), p.query)
     assert legality("update", bad.update) and structural_penalty(bad).cut
     none = Program.parse(SALTED, "base(0, 0, 0)", "base_sel(0, 1, 2, 3)")
@@ -134,4 +136,10 @@ def test_families_and_schemas():
     assert families(a).update == "triple-write" and families(a).query == "median-query"
     assert mechanism(a).mechanism_family == "cms_like" and mechanism_distance(mechanism(a)) < mechanism_distance(mechanism(b))
     assert motif_distance(motif(a), motif(a)) == 0 < motif_distance(motif(a), motif(b))
+    for family, (update, query) in MECHANISM_PROGRAMS.items():
+        assert mechanism(Program.parse(SALTED, update, query)).mechanism_family == family
+    m = mechanism(PROGRAMS["promotion"][1])
+    assert m.lane_roles == ["scout", "promotion", "promotion"] and m.lane_relations == ["lane0->lane1:on_threshold", "lane0->lane2:on_threshold", "lane1->lane2:on_threshold"]
+    assert architecture(a).arch_type == "regular" and architecture(b).arch_type == "overflow" and architecture(PROGRAMS["promotion"][1]).arch_type == "pyramid"
+    assert mechanism_distance(mechanism(a)) == 0 and motif(PROGRAMS["conservative"][1])["has_handoff"] and not motif(a)["has_handoff"]
     assert role_entropy(["a", "a", "a"]) == 0 and abs(role_entropy(["a", "b", "c"]) - 1) < 1e-9
