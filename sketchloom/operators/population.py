@@ -51,7 +51,7 @@ def migrants(pop: DataFrame, k: int, seed: int = 0) -> DataFrame:
     rest = pop.join(elite.select("pid"), "pid", "left_anti")
     known = elite.select("key").distinct().withColumn("known", F.lit(1))
     rest = rest.join(known, "key", "left").withColumn("o", F.coalesce("known", F.lit(0)) + 1).drop("known")
-    order = F.xxhash64("pid", F.lit(seed))
+    order = F.md5(F.concat_ws("|", F.col("pid").cast("string"), F.lit(str(seed))))
     nth = F.row_number().over(W.partitionBy("key").orderBy(order))
     rest = rest.withColumn("o", F.when(nth > 1, 2).otherwise(F.col("o")))
     return elite.unionByName(rest, allowMissingColumns=True).orderBy("o", F.when(F.col("o") == 0, -F.col("fit")), order).limit(k).drop("o")

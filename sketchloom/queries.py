@@ -15,7 +15,7 @@ from .operators import metrics as M
 from .operators import population as P
 from .operators.sketch import addresses, build_cells, estimates, fold_cells, merge_cells, stream_of
 from .plans import sqltext as Q
-from .plans.analyze import MECHANISM_PROGRAMS, motif
+from .plans.analyze import MECHANISM_PROGRAMS, effect_summary, legality, motif
 from .plans.grammar import BUSY, MAIN
 from .plans.lower import Lowering
 from .plans.program import Program
@@ -367,12 +367,25 @@ def absent_anti_join(spark, sf):
     return M.absent_keys(M.exact_frequency(orders(spark, sf)), "absent", 16)
 
 
-@query()
+def absent_sql(p: Program, stream: str, k: int) -> str:
+    """Common table expressions up to h(e, est): estimates of k keys that the stream lacks."""
+    lanes = " ".join(f"LEFT JOIN ka a{z} ON a{z}.e = m.e AND a{z}.z = {z} LEFT JOIN c k{z} ON k{z}.z = {z} AND k{z}.x = a{z}.x AND k{z}.y = a{z}.y" for z in range(3))
+    cols = ", ".join(f"k{z}.cnt AS c{z}, k{z}.ovf AS o{z}" for z in range(3))
+    return f"""b AS (SELECT e, row_number() OVER (ORDER BY e) - 1 AS r FROM f ORDER BY e LIMIT {max(16, 4 * k)}),
+    i AS (SELECT unnest(range({4 * k + 16})) AS i), made AS (SELECT i, b.e || '__absent__' || i AS e FROM i JOIN b ON b.r = i % (SELECT count(*) FROM b)),
+    m AS (SELECT e FROM made WHERE e NOT IN (SELECT e FROM f) ORDER BY i LIMIT {k}), ka AS ({Q.addresses_sql(p, "m")}),
+    l AS (SELECT m.e, {cols} FROM m {lanes}), h AS (SELECT e, {Q.estimate_sql(p)} AS est FROM l)"""
+
+
+def _absent(s: DataFrame, p: Program, k: int) -> DataFrame:
+    keys = M.absent_keys(M.exact_frequency(s), "absent", k).select("e")
+    return estimates(keys, build_cells(s, p), p).select("e", "est")
+
+
+@query(f"{cells_sql(salted(), 'orders_s')}, {absent_sql(salted(), 'orders_s', 64)} SELECT e, est FROM h")
 def absent_probe(spark, sf):
     """False positives: estimates of keys that the stream lacks."""
-    s = orders(spark, sf)
-    keys = M.absent_keys(M.exact_frequency(s), "absent", 64).select("e")
-    return estimates(keys, build_cells(s, salted()), salted())
+    return _absent(orders(spark, sf), salted(), 64)
 
 
 @query(estimates_sql(salted(), "orders_s") + " SELECT count(*) AS n, sum(abs(est - actual)) AS sae, sum(abs(est - actual)) / count(*) AS aae FROM g")
@@ -409,11 +422,11 @@ def baseline_cms(spark, sf):
     return M.error_summary(M.baseline_report(parts(spark, sf)))
 
 
-@query(f"""{estimates_sql(salted(), "orders_s")}, v AS (SELECT est, count(*) AS c FROM g GROUP BY est)
-SELECT count(*) AS uniq_present, max(c) / sum(c) AS mode_ratio, max(est) - min(est) AS present_span, sum(est * c) / sum(c) AS present_mean, 0.0 AS absent_mean FROM v""")
+@query(f"""{estimates_sql(salted(), "orders_s")}, v AS (SELECT est, count(*) AS c FROM g GROUP BY est), {absent_sql(salted(), "orders_s", 64)}
+SELECT count(*) AS uniq_present, max(c) / sum(c) AS mode_ratio, max(est) - min(est) AS present_span, sum(est * c) / sum(c) AS present_mean, (SELECT avg(est) FROM h) AS absent_mean FROM v""")
 def collapse_stats(spark, sf):
-    r = report(spark, sf, salted())
-    return M.collapse_stats(r.select("e", "est"), r.filter("false").select("e", "est"))
+    """Of the stream's own keys and of 64 that it lacks."""
+    return M.collapse_stats(report(spark, sf, salted()).select("e", "est"), _absent(orders(spark, sf), salted(), 64))
 
 
 @query(f"{estimates_sql(salted(), 'orders_s')} SELECT count(*) / 50.0 AS recall FROM (SELECT e FROM g ORDER BY actual DESC, e LIMIT 50) SEMI JOIN (SELECT e FROM g ORDER BY est DESC, e LIMIT 50) USING (e)")
@@ -460,8 +473,9 @@ def proxy_head_stream(spark, sf):
     return s.groupBy("e").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-@query()
+@query(f"WITH {ORDERS}, d AS (SELECT count(DISTINCT e) AS d FROM orders_s) SELECT CAST(s AS INTEGER) AS stage, CAST(n AS BIGINT) AS n, least(d, u) AS u FROM d, (VALUES (0, 1250, 275), (1, 1750, 875), (2, 2000, 1000)) v(s, n, u)")
 def staged_proxy_stream(spark, sf):
+    """Items and distinct items of the three streams: a quarter, a third and the rest, with their shares of distinct items."""
     s = T.staged_proxies(orders(spark, sf), 5_000, seed=3)
     return s.groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("e").alias("u"))
 
@@ -505,8 +519,14 @@ def evaluation_items(spark, sf):
     return C.evaluation_items(M.exact_frequency(orders(spark, sf)), _case_table(spark, sf), 96, 0.0)
 
 
-@query()
+@query(f"""WITH {ORDERS}, f AS (SELECT e, count(*) AS n FROM orders_s GROUP BY e), rk AS (SELECT e, n AS expected, row_number() OVER (ORDER BY n DESC, e) AS r FROM f),
+c AS ({_CASES}), t AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY score DESC, item) AS turn FROM c), s AS (SELECT bucket, count(*) AS size FROM c GROUP BY bucket),
+rr AS (SELECT item AS e, expected, turn, bucket FROM t JOIN s USING (bucket) ORDER BY turn, size DESC, bucket LIMIT 24),
+ex AS (SELECT e, expected, row_number() OVER (ORDER BY turn, bucket) AS r FROM rr WHERE e NOT IN (SELECT e FROM rk WHERE r <= 72)),
+u AS (SELECT e, expected, 0 AS o, r FROM rk WHERE r <= 72 UNION ALL SELECT e, expected, 1, r FROM ex UNION ALL SELECT e, expected, 2, r FROM rk WHERE r > 72 AND r <= 96 AND e NOT IN (SELECT e FROM ex))
+SELECT e, expected FROM u ORDER BY o, r LIMIT 96""")
 def evaluation_items_replayed(spark, sf):
+    """A quarter of the places goes to replayed cases, bucket by bucket."""
     return C.evaluation_items(M.exact_frequency(orders(spark, sf)), _case_table(spark, sf), 96, 0.25)
 
 
@@ -533,7 +553,10 @@ def migration_pick_elite(spark, sf):
     return P.migration_elite(_pop(spark, sf), 8).select("pid", "key", "fit")
 
 
-@query()
+@query(f"""WITH {_POP}, {_BEST}, elite AS (SELECT pid, key, fit FROM b WHERE r = 1 ORDER BY fit DESC, err, pid LIMIT 4),
+rest AS (SELECT pid, key, fit, md5(pid || '|5') AS h, row_number() OVER (PARTITION BY key ORDER BY md5(pid || '|5')) AS nth FROM pop WHERE pid NOT IN (SELECT pid FROM elite)),
+u AS (SELECT pid, key, fit, 0 AS o, '' AS h FROM elite UNION ALL SELECT pid, key, fit, CASE WHEN nth > 1 OR key IN (SELECT key FROM elite) THEN 2 ELSE 1 END, h FROM rest)
+SELECT pid, key, fit FROM u ORDER BY o, h LIMIT 8""")
 def migration_pick(spark, sf):
     return P.migrants(_pop(spark, sf), 8, seed=5).select("pid", "key", "fit")
 
@@ -566,13 +589,42 @@ def archive_topk(spark, sf):
     return P.archive_merge(a, b, 16)
 
 
-@query(f"WITH {_POP}, a AS (SELECT key, max(pid) AS v FROM pop WHERE pid % 2 = 0 GROUP BY key), b AS (SELECT key, max(pid) AS v FROM pop WHERE pid % 3 = 0 GROUP BY key) SELECT coalesce(b.key, a.key) AS key, coalesce(b.v, a.v) AS v FROM a FULL JOIN b ON a.key = b.key")
+@query(f"WITH {_POP}, a AS (SELECT key, max(pid) AS v FROM pop WHERE fit <= 5 GROUP BY key), b AS (SELECT key, max(pid) AS v FROM pop WHERE fit > 2 GROUP BY key) SELECT coalesce(b.key, a.key) AS key, coalesce(b.v, a.v) AS v FROM a FULL JOIN b ON a.key = b.key")
 def incubator_upsert(spark, sf):
+    """Two parts by fitness that overlap and together hold every row."""
     p = _pop(spark, sf)
-    a, b = (p.filter(F.col("pid") % m == 0).groupBy("key").agg(F.max("pid").alias("v")) for m in (2, 3))
+    a, b = (p.filter(part).groupBy("key").agg(F.max("pid").alias("v")) for part in ("fit <= 5", "fit > 2"))
     return P.upsert(a, b, "key", "v")
 
 
+@query(f"WITH {_POP} SELECT island, count(*) AS n, min(err) AS min_err, median(err) AS median_err, max(err) AS max_err, avg(fit) AS avg_fit, avg(err) AS avg_err FROM pop GROUP BY island")
+def island_stats(spark, sf):
+    return P.island_stats(_pop(spark, sf))
+
+
+@query(f"WITH {_POP} SELECT min(pid) AS pid, key, birth FROM pop p WHERE NOT EXISTS (SELECT 1 FROM pop d WHERE d.fit > 4 AND d.key = p.key AND d.birth = p.birth) GROUP BY key, birth")
+def unseen_candidates(spark, sf):
+    """What is left to evaluate where the fitter programs have stored results."""
+    p = _pop(spark, sf)
+    return P.unseen(p.select("pid", "key", "birth"), p.filter("fit > 4"), "key", "birth")
+
+
+@query(f"WITH {_POP}, x AS (SELECT key FROM pop WHERE fit < 3 GROUP BY key HAVING count(*) >= 2) SELECT pid, key AS basin FROM pop WHERE key NOT IN (SELECT key FROM x)")
+def basin_blocklist(spark, sf):
+    p = _pop(spark, sf).withColumnRenamed("key", "basin")
+    return P.blocked(p.select("pid", "basin"), p.filter("fit < 3"), 2)
+
+
+@query(f"""WITH {ORDERS}, f AS (SELECT DISTINCT e FROM orders_s), c AS ({_CASES}), h AS (SELECT item AS e, -score AS o FROM c ORDER BY score DESC, item LIMIT 20),
+b AS (SELECT e, row_number() OVER (ORDER BY e) - 1 AS r FROM f ORDER BY e LIMIT 64), i AS (SELECT unnest(range(80)) AS i),
+m AS (SELECT i, b.e || '__absent__' || i AS e FROM i JOIN b ON b.r = i % (SELECT count(*) FROM b)), k AS (SELECT i, e FROM m WHERE e NOT IN (SELECT e FROM f) ORDER BY i LIMIT 16)
+SELECT e, source FROM (SELECT e, 0 AS source, o FROM h UNION ALL SELECT e, 1, CAST(i AS DOUBLE) FROM k WHERE e NOT IN (SELECT e FROM h)) ORDER BY source, o, e LIMIT 30""")
+def absent_eval_items(spark, sf):
+    """Hard cases first, then keys that the stream lacks."""
+    bank = M.absent_keys(M.exact_frequency(orders(spark, sf)), "absent", 16)
+    return C.absent_items(C.hardest(_case_table(spark, sf), 20), bank, 30)
+
+
 @query(f"WITH {_POP} SELECT 'island' AS axis, CAST(island AS VARCHAR) AS value, count(*) AS n FROM pop GROUP BY 2 UNION ALL SELECT 'key', key, count(*) FROM pop GROUP BY 2")
 def family_histogram(spark, sf):
     return P.histogram(_pop(spark, sf), "island", "key")
@@ -640,6 +692,19 @@ def program_metadata(spark, sf):
     return K.describe(spark, [K.Candidate(Program.parse(*t)) for t in _TEXTS]).drop("lint")
 
 
+@query(f"""WITH t AS (SELECT * FROM (VALUES {_VALUES}) v(pid, i, u, q)) SELECT pid, {_N('u', 'update_count')} + {_N('u', 'write_count')} + {_N('u', 'update_state')} AS writes,
+{_N('u', 'updatecount_if')} + {_N('u', 'writecount_if')} + {_N('u', 'writestate_if')} AS guarded, {_N('u', 'query_count')} AS counter_reads, {_N('q', 'query_date')} AS reads, {_N('q', 'cnt_rdstate')} AS state_reads,
+{_N('u', 'query_date')} + {_N('u', 'cnt_rdstate')} = 0 AS update_legal, {_N('q', 'update_count')} + {_N('q', 'write_count')} + {_N('q', 'query_count')} = 0 AS query_legal FROM t""")
+def effect_counts(spark, sf):
+    """What each program's parts read and write, and whether a part holds primitives of another."""
+    rows = []
+    for i, t in enumerate(_TEXTS):
+        p = Program.parse(*t)
+        u, q = effect_summary(p.update), effect_summary(p.query)
+        rows.append((i, u["real_write_calls"], u["conditional_write_calls"], u["counter_read_calls"], q["query_date_calls"], q["state_read_calls"], not legality("update", p.update), not legality("query", p.query)))
+    return spark.createDataFrame(rows, "pid int, writes long, guarded long, counter_reads long, reads long, state_reads long, update_legal boolean, query_legal boolean")
+
+
 @query()
 def motif_distance(spark, sf):
     """Distances of each program's motif to the first one's."""
@@ -666,9 +731,10 @@ def evaluate_candidates(spark, sf):
 
 @query()
 def search_champions(spark, sf):
-    """An island search with its defaults on the evaluation stream; its champions with held-out errors."""
-    w = _workload(spark, sf)
-    held = Workload([s[::-1] for s in w.stages], w.absent)
+    """An island search with its defaults on the first four fifths of the orders; its champions with their errors on the
+    rest, which the search has not seen."""
+    items = [e for s in _workload(spark, sf).stages for e in s]
+    w, held = Workload.of(items[: len(items) * 4 // 5]), Workload.of(items[len(items) * 4 // 5 :])
     found = holdout(champions(search(spark, w, Config(seed=1)), 3), held)
     return spark.createDataFrame([(*m.texts, m.fit, m.err, h) for m, h in found], "init_dex string, update string, query string, fit double, err double, holdout_err double")
 
