@@ -115,9 +115,9 @@ def hash_unicode(spark, sf):
     return table(spark, sf, "documents").select(F.col("doc_id").alias("k"), S.hash_mod(0, F.col("text"), 102).alias("h"))
 
 
-def _lowered(expr: str, item: str, kind: str = "integer"):
-    node = MAIN.init.parse(f"list_3({expr}, 0, 1, 0, 0, 1, 0, 0, 1)").args[0]
-    low = Lowering(MAIN, F.col(item))
+def _lowered(expr: str, item: str, kind: str = "integer", dialect=MAIN):
+    node = dialect.init.parse(f"list_3({expr}, 0, 1, 0, 0, 1, 0, 0, 1)").args[0]
+    low = Lowering(dialect, F.col(item))
     return low.integer(node)[0] if kind == "integer" else low.string(node)
 
 
@@ -201,6 +201,43 @@ def bit_ops(spark, sf):
     return table(spark, sf, "part").select(k.alias("k"), k.bitwiseXOR(s).alias("x"), k.bitwiseAND(s).alias("a"), k.bitwiseOR(s).alias("o"), F.call_function("shiftleft", k, by).alias("l"), right.alias("r"), (right.bitwiseAND(F.lit(1).cast("long")) == 1).alias("t"))
 
 
+def _compact(name: str, **columns: tuple[str, str]):
+    """A query of integer expressions of the compact dialect over part names, each with its SQL."""
+    text = ", ".join(f"CAST({sql} AS BIGINT) AS {c}" for c, (_, sql) in columns.items())
+
+    @query(f"SELECT p_partkey AS k, {text} FROM part", name)
+    def f(spark, sf):
+        return table(spark, sf, "part").select(F.col("p_partkey").alias("k"), *(_lowered(x, "p_name", dialect=BUSY).cast("long").alias(c) for c, (x, _) in columns.items()))
+
+
+_compact(
+    "compact_strings",
+    n=("str_len(e)", "length(p_name)"),
+    joined=("safe_mod(select_hash(0, str_concat(e, int_to_str(str_len(e)))), 1000)", Q.hash_mod(0, "p_name || CAST(length(p_name) AS VARCHAR)", 1000)),
+    chosen=("safe_mod(select_hash(1, if_then_else_str(greater(str_len(e), 12), str_slice(e, 0, 5), e)), 1000)", Q.hash_mod(1, "(CASE WHEN length(p_name) > 12 THEN substr(p_name, 1, 5) ELSE p_name END)", 1000)),
+)
+_compact(
+    "compact_booleans",
+    both=("if_then_else_int(and_bool(greater(str_len(e), 8), not_bool(equal(str_len(e), 12))), 1, 0)", "CASE WHEN length(p_name) > 8 AND length(p_name) <> 12 THEN 1 ELSE 0 END"),
+    either=("if_then_else_int(or_bool(less(str_len(e), 10), equal(str_len(e), 13)), 4, 2)", "CASE WHEN length(p_name) < 10 OR length(p_name) = 13 THEN 4 ELSE 2 END"),
+    nested=("if_then_else_int(if_then_else_bool(greater(str_len(e), 11), less(str_len(e), 14), greater(str_len(e), 9)), 1, 0)", "CASE WHEN CASE WHEN length(p_name) > 11 THEN length(p_name) < 14 ELSE length(p_name) > 9 END THEN 1 ELSE 0 END"),
+)
+_compact(
+    "compact_arithmetic",
+    line=("affine(str_len(e), 3, 5)", "length(p_name) + 5 * 3"),
+    dist=("abs_int(safe_sub(str_len(e), 12))", "abs(length(p_name) - 12)"),
+    segment=("seg_id(safe_sub(3, str_len(e)), 4)", "abs(3 - length(p_name)) % 4"),
+    bits=("bit_xor(str_len(e), 9)", "xor(length(p_name), 9)"),
+)
+_H0, _H1 = Q.hash_mod(0, "p_name", 5), "(CASE WHEN {s} < 1 THEN {a} ELSE {b} END)"
+_compact(
+    "compact_routes",
+    even=("row_route(select_hash(0, e), select_hash(1, e), 4)", f"{Q.hash_mod(0, 'p_name', 4)} * 4 + {Q.hash_mod(1, 'p_name', 4)}"),
+    uneven=("row_route(select_hash(0, e), select_hash(1, e), 5)", f"{_H0} * 3 + least({_H0}, 1) + " + _H1.format(s=_H0, a=Q.hash_mod(1, "p_name", 4), b=Q.hash_mod(1, "p_name", 3))),
+    tiers=("cap2_4_16(seg_id(select_hash(0, e), 4), 4)", f"CASE WHEN {Q.hash_mod(0, 'p_name', 4)} < 2 THEN 4 ELSE 16 END"),
+)
+
+
 # ---- exact -----------------------------------------------------------------------------------------------------------
 
 
@@ -312,6 +349,43 @@ def cells_state_flag(spark, sf):
     return build_cells(orders(spark, sf), FLAGGED)
 
 
+STATED = salted("base(update_count(e, 0, 1), writestate_if(gt(query_count(e, 0), 3), e, 1, True), updatecount_if(query_state(e, 1), e, 2, 1))")
+
+
+@query(f"""WITH {ORDERS}, {_per_row(STATED)}, a AS (SELECT *, count(*) OVER (PARTITION BY x0, y0 ORDER BY seq) AS c0 FROM r),
+b AS (SELECT *, bool_or(c0 > 3) OVER (PARTITION BY x1, y1 ORDER BY seq) AS s1 FROM a)
+SELECT 0 AS z, x0 AS x, y0 AS y, count(*) AS cnt, false AS ovf FROM a GROUP BY x0, y0
+UNION ALL SELECT DISTINCT 1, x1, y1, 0, true FROM a WHERE c0 > 3
+UNION ALL SELECT 2, x2, y2, count(*), false FROM b WHERE s1 GROUP BY x2, y2""")
+def cells_state_read(spark, sf):
+    """A plane that counts only where another one's flag is up."""
+    return build_cells(orders(spark, sf), STATED)
+
+
+WRITTEN = salted("base(update_count(e, 0, 1), writecount_if(gt(query_count(e, 0), 3), e, 1, 9), update_count(e, 2, 4))")
+
+
+@query(f"""WITH {ORDERS}, {_per_row(WRITTEN)}, a AS (SELECT *, count(*) OVER (PARTITION BY x0, y0 ORDER BY seq) AS c0 FROM r)
+SELECT 0 AS z, x0 AS x, y0 AS y, count(*) AS cnt, false AS ovf FROM a GROUP BY x0, y0
+UNION ALL SELECT DISTINCT 1, x1, y1, 9, false FROM a WHERE c0 > 3
+UNION ALL SELECT 2, x2, y2, 4 * count(*), false FROM a GROUP BY x2, y2""")
+def cells_guarded_write(spark, sf):
+    return build_cells(orders(spark, sf), WRITTEN)
+
+
+COMPACT_ROUTED = "list_3(row_route(select_hash(0, e), select_hash(1, e), 4), select_hash(2, e), 16, select_hash(1, e), hash_salt(0, e, 5), 16, select_hash(2, e), hash_salt(1, e, 6), 8)"
+COMPACT_COUNTS = Program.parse(COMPACT_ROUTED, "base(update_count(e, 0, 2), update_count(e, 1, 0), update_count(e, 2, 1))", sel(0), BUSY)
+
+
+@query(f"""WITH {ORDERS}, f AS (SELECT e, count(*) AS n FROM orders_s GROUP BY e),
+a AS (SELECT e, n * 2 AS n, 0 AS z, {Q.hash_mod(0, "e", 4)} * 4 + {Q.hash_mod(1, "e", 4)} AS x, {Q.hash_mod(2, "e", 16)} AS y FROM f
+UNION ALL SELECT e, n, 1, {Q.hash_mod(1, "e", 16)}, {Q.hash_mod(0, "e || '|5'", 16)} FROM f UNION ALL SELECT e, n, 2, {Q.hash_mod(2, "e", 16)}, {Q.hash_mod(1, "e || '|6'", 8)} FROM f)
+SELECT z, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, CAST(sum(n) AS BIGINT) AS cnt, false AS ovf FROM a GROUP BY z, x, y""")
+def cells_compact(spark, sf):
+    """Counts in the compact geometry, where an update by 0 counts as one by 1."""
+    return build_cells(orders(spark, sf), COMPACT_COUNTS)
+
+
 CONSERVATIVE = Program.parse("list_3(row_route(select_hash(0, e), select_hash(1, e), 4), select_hash(2, e), 16, select_hash(1, e), hash_salt(0, e, 5), 16, select_hash(2, e), hash_salt(1, e, 6), cap2_8_16(seg_id(select_hash(0, e), 4), 4))", "base(cu_update(e, 1), 0, 0)", sel(0), BUSY)
 
 
