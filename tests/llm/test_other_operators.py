@@ -317,3 +317,30 @@ def test_pipeline_stages(spark, tmp_path, docs):
     assert [n for n, _ in cp.STAGES] == ["quality_rules", "line_dedup", "simhash_near_dedup", "benchmark_decontamination", "best_fit_packing"]
     for _, stage in cp.STAGES[:-1]:
         assert stage(spark, docs, sf).columns == docs.columns
+
+
+def stored(spark, path, documents, labels=(), items=()):
+    documents.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame(list(items), "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return str(path)
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path, nothing):
+    import corpus_pipeline as cp
+
+    assert cp.run(spark, stored(spark, tmp_path, nothing)).collect() == []
+
+
+def test_pipeline_edges(spark, tmp_path, clashing):
+    """Null ids, texts and items, repeated rows and clashing columns go through; what is packed was kept before."""
+    import corpus_pipeline as cp
+
+    sf = stored(spark, tmp_path, clashing, [(i, i % 2, None) for i in range(20)] + [(None, 1, 0)], [(0, None), (1, ""), (None, "a b c d")])
+    kept = spark.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in cp.STAGES[:-1]:
+        kept = stage(spark, kept, sf)
+        assert kept.columns == clashing.columns
+    ids = {r.doc_id for r in kept.collect()}
+    packed = {r.doc_id for r in cp.run(spark, sf).collect()}
+    assert packed <= ids and 0 < len(ids) < clashing.count()
