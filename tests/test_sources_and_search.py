@@ -8,10 +8,10 @@ import pytest
 from programs import PROGRAMS
 from pyspark.sql import functions as F
 
-from sketchloom.evaluate import Workload, evaluate, evaluate_over, evaluate_programs
+from sketchloom.evaluate import RUN_FAILED, Workload, evaluate, evaluate_over, evaluate_programs
 from sketchloom.operators import cases as C
 from sketchloom.operators.sketch import build_cells
-from sketchloom.search.islands import Config, champions, dump, holdout, load, search
+from sketchloom.search.islands import Config, Island, Member, champions, dump, holdout, load, rescale, search, typical_error
 from sketchloom.sources import candidates as K
 from sketchloom.sources import traces as T
 from sketchloom.streaming.ingest import streaming_cells, streaming_fold
@@ -134,3 +134,14 @@ def test_search_is_repeatable(spark):
     assert best[0].err == min(i.best.err for i in a) or best[0].fit >= best[-1].fit
     ranked = holdout(best, Workload.of(ITEMS[::-1], absent=4))
     assert len(ranked) == len(best)
+
+
+def test_typical_error_sets_fitness(spark):
+    cfg = Config(population=6, islands=2, rounds=1, children=4, seed=3, stop_at=-1)
+    islands = search(spark, Workload.of(ITEMS, absent=4), cfg)
+    members = [m for i in islands for m in i.members]
+    told = {round(m.err * m.fit / (1 - m.fit), 3) for m in members if 0 < m.fit < 1 and m.err > 0}
+    assert len(told) == 1 and told.pop() > 1
+    failed = Member(("", "", ""), 0.5, RUN_FAILED, [], 0, "x")
+    rescale([Island(0, [failed])], 10.0)
+    assert failed.fit == 0.0 and typical_error([Island(0, [failed])]) == 1.0
