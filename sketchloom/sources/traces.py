@@ -109,6 +109,7 @@ def synthetic_words(spark: SparkSession, n: int = 10_000, seed: int = 0) -> Data
 
 # ---- proxies -------------------------------------------------------------------------------------------------------
 
+#: Fixed values of the evaluated system's proxies, as are the bounds in proxy_base and the sizes in staged_proxies.
 PROXIES = {
     # share of distinct items wanted, least and most of it, the share of these that is hot, and at least so many
     "proxy_balanced": (0.50, 0.30, 0.55, 0.20, 32),
@@ -136,7 +137,9 @@ def collision_order() -> list[Column]:
 def proxy_stream(pool: DataFrame, mode: str, target: int, seed: int = 0) -> DataFrame:
     """(seq, e) of target items with a given skew: every base item once, the rest repeats of hot ones, in seeded order."""
     if mode not in PROXIES:
-        return pool.select("e").orderBy(F.xxhash64(F.monotonically_increasing_id(), F.lit(seed))).limit(target).select(F.xxhash64("e", F.lit(seed)).alias("seq"), "e")
+        # rows of one item are numbered, so that the order depends on what the pool holds, not on its partitions
+        each = pool.groupBy("e").agg(F.count(F.lit(1)).alias("n")).select("e", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("k"))
+        return each.select(F.struct(F.xxhash64("e", "k", F.lit(seed)).alias("h"), "e", "k").alias("seq"), "e").orderBy("seq").limit(target)
     distinct = pool.select("e").distinct()
     u, hot = proxy_base(mode, target, distinct.count())
     order = collision_order() if mode == "proxy_collision" else [F.xxhash64("e", F.lit(seed)), F.col("e")]

@@ -145,3 +145,9 @@ def test_typical_error_sets_fitness(spark):
     failed = Member(("", "", ""), 0.5, RUN_FAILED, [], 0, "x")
     rescale([Island(0, [failed])], 10.0)
     assert failed.fit == 0.0 and typical_error([Island(0, [failed])]) == 1.0
+
+
+def test_plain_proxy_does_not_depend_on_partitions(spark):
+    pool = spark.createDataFrame([(f"k{i % 40}",) for i in range(200)], "e string")
+    a, b = ([r.e for r in T.proxy_stream(pool.repartition(n), "plain", 90, seed=2).collect()] for n in (1, 5))
+    assert a == b and len(a) == 90 and T.proxy_stream(pool, "plain", 500).count() == 200
