@@ -92,6 +92,8 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRE
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against all items. Null, empty and wordless texts on either side match nothing; whole long texts are
+    searched; repeated rows of an id count as one; rows without an id are left out; empty tables give no rows."""
     return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

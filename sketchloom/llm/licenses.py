@@ -279,4 +279,6 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, sample: int = SAMPLE) ->
 
 
 def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All paragraphs of all documents. A null or empty text has none; long texts are scanned whole; repeated rows of a
+    doc_id count as one; rows without a doc_id are left out; an empty table gives no rows."""
     return license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -274,5 +274,7 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per row of documents. A null text has no lines; rows of one doc_id share its decisions; a row without a
+    doc_id loses nothing; of equal lines the first by doc_id and number stays; an empty table gives no rows."""
     found = line_decisions(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), "removed")

@@ -236,4 +236,6 @@ def docs_by_fold(chunks: DataFrame) -> tuple[int, int]:
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, whole texts. A null or empty text is one end; repeated rows count each; a null doc_id takes the fold of
+    an empty string; an empty table gives no rows; further columns are ignored. Words and pairs are told apart by 64-bit hashes."""
     return score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))

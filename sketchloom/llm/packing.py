@@ -112,4 +112,6 @@ def best_fit_packing(lengths: DataFrame, capacities=CAPACITIES, overhead: int =
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by words. Null and empty texts get one row without a bin, long ones are cut into pieces; ties go by
+    doc_id; repeated rows are packed each; an empty table gives no rows; further columns are ignored."""
     return best_fit_packing(word_counts(spark.read.parquet(f"{sf_dir}/documents.parquet")))

@@ -165,5 +165,7 @@ def keep_first_of_group(docs: DataFrame) -> DataFrame:
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, whole texts. Null, empty and wordless texts have fingerprint zero and link like any other; repeated rows
+    get a row each; an empty table gives no rows; further columns are ignored."""
     found = simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

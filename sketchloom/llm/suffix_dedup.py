@@ -321,4 +321,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = Fals
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 50 bytes over all documents. A null or empty text has 0 bytes and the digest of nothing; repeated rows
+    of a doc_id take nothing from each other; an empty table gives no rows; further columns are ignored."""
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))

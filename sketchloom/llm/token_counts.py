@@ -108,4 +108,6 @@ def token_counts(docs: DataFrame, vocabulary: list[tuple[str, float]] | None = N
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, whole texts. A null or empty text has no tokens; repeated rows count alike; an empty table gives no
+    rows; further columns are ignored."""
     return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))

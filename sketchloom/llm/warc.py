@@ -241,6 +241,8 @@ def archive_pages(pages: DataFrame, folder: str | None = None) -> CaptureIndex:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per page, read back from the archives. A null or empty html is an empty payload and always response; of equal
+    payloads the smallest page_id is response, repeated rows of that page too; an empty table gives no rows."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     found = archive_pages(pages).read(pages)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
