@@ -53,6 +53,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents. Null and empty texts fail the quality rules; a text that loses all its lines is packed as
+    one row without a bin; null items and labels decide nothing; rows without a doc_id pass the stages that go by id;
+    repeated rows are judged alike; further columns pass through until packing; empty tables give no rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
