@@ -30,7 +30,16 @@ VALUES = 2 * BANDS
 #: LEAST_OWN of the sixteenths with a hash, the line is looked at again, all of it.
 ENOUGH, FIRST, LEAST_OWN = 64, 8, 8
 #: In a band a line is compared with so many before it, in the order of the next band.
-NEIGHBOURS = 3
+NEIGHBOURS = 1
+#: Bands of at most so many lines that are still in several components compare all sketches across these.
+FULL = 32
+#: Lines outside a larger band's most frequent root that are compared with all of the band by sketches; more by prefix filters.
+OUTSIDE = 1024
+#: 64-bit words of a sketch, a power of two.
+WORDS = 16
+WORD = [f"x{i}" for i in range(WORDS)]
+#: Eighths of the shingle hashes that first tell which lines of a larger band are like no other.
+SOME = 3
 #: Bands of more lines are cut into runs of about so many by the next band's values; the prefix filters join these.
 RUN = 4096
 #: Line places (8 bytes each) that are broadcast at most to fetch lines for verification; more are joined by a shuffle.
@@ -131,102 +140,212 @@ def fetched(needed: DataFrame, docs: DataFrame, wide: bool) -> DataFrame:
 
 
 def shared_bands(distinct: DataFrame) -> DataFrame:
-    """(band, k, node, n, next): the bands that several distinct lines share, k of them; next is the line's next band."""
-    pairs = [F.struct(F.col(f"b{i + 1}").alias("band"), F.col(f"b{(i + 1) % BANDS + 1}").alias("next")) for i in range(BANDS)]
-    bands = distinct.select("node", "n", F.explode(F.array(*pairs)).alias("x")).select("node", "n", "x.band", "x.next")
+    """(band, k, node, next): the bands that several distinct lines share, k of them; next is of the line's next band."""
+    pairs = [F.struct(F.col(f"b{i + 1}").alias("band"), F.shiftright(f"b{(i + 1) % BANDS + 1}", 32).cast("int").alias("next")) for i in range(BANDS)]
+    bands = distinct.select("node", F.explode(F.array(*pairs)).alias("x")).select("node", "x.band", "x.next")
     several = materialize(bands.groupBy("band").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "line-bands")
     return materialize(bands.join(several.hint("shuffle_hash"), "band"), "line-shared")
 
 
+def sketches(texts: DataFrame) -> DataFrame:
+    """(node, n, x0, x1, ...) of lines (node, line): n distinct shingles, and a bit for each of 64 * WORDS classes of
+    shingle hashes, set where the line has an odd number of the class. Two lines have at least as many shingles that the
+    other lacks as bits that differ."""
+    each = texts.select("node", F.explode(F.array_distinct(shingle_runs("line"))).alias("h"))
+    bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
+    word = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(WORDS - 1))
+    odd = [F.bit_xor(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).alias(c) for i, c in enumerate(WORD)]
+    return each.groupBy("node").agg(F.count(F.lit(1)).cast("double").alias("n"), *odd)
+
+
+def differing() -> Column:
+    return sum((F.bit_count(F.col(f"{c}_u").bitwiseXOR(F.col(f"{c}_v"))) for c in WORD), F.lit(0))
+
+
+def near_enough(threshold: float) -> Column:
+    """Whether lines of n_u, n_v shingles and sketches x0_u, x0_v, ... may reach the threshold: necessary, not enough."""
+    sized = F.greatest("n_u", "n_v") * threshold - 1e-9 <= F.least("n_u", "n_v")
+    return sized & (differing() * (1 + threshold) <= (F.col("n_u") + F.col("n_v")) * (1 - threshold) + 1e-6)
+
+
+def side(rows: DataFrame, x: str, *keep: str) -> DataFrame:
+    return rows.select(*keep, *(F.col(c).alias(f"{c}_{x}") for c in rows.columns if c not in keep))
+
+
+def close_pairs(pairs: DataFrame, sketch: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Those of the pairs (u, v) that may reach the threshold by their sketches."""
+    a, b = (side(sketch, x).withColumnRenamed(f"node_{x}", x) for x in "uv")
+    return pairs.join(a, "u").join(b, "v").filter(near_enough(threshold)).select("u", "v")
+
+
 def neighbour_pairs(shared: DataFrame) -> DataFrame:
     """(u, v): lines that meet in a band. A line makes at most NEIGHBOURS pairs in each band, whatever its size; a band
     of at most NEIGHBOURS + 1 lines makes all its pairs."""
     run = F.when(F.col("k") > RUN, F.pmod("next", F.ceil(F.col("k") / RUN))).otherwise(F.lit(0))
     w = W.partitionBy("band", "run").orderBy("next", "node")
-    line = F.struct("n", "node")
-    met = F.array_compact(F.array(*(F.lag(line, k).over(w) for k in range(1, NEIGHBOURS + 1))))
-    pairs = shared.withColumn("run", run).select(line.alias("x"), met.alias("met")).select("x", F.explode("met").alias("y"))
-    return pairs.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct()
+    met = F.array_compact(F.array(*(F.lag("node", k).over(w) for k in range(1, NEIGHBOURS + 1))))
+    pairs = shared.withColumn("run", run).select("node", met.alias("met")).select("node", F.explode("met").alias("other"))
+    return pairs.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(u, v) of those pairs (u, v) whose lines, among texts (node, line), reach the threshold by exact Jaccard. u: the
-    longer, so that a shorter v can often be told to be too short by its length."""
-    pairs = materialize(pairs, "line-pairs")
+    """(u, v) of those pairs (u, v) whose lines, among texts (node, line), reach the threshold by exact Jaccard."""
     a, b = (texts.select(F.col("node").alias(x), F.col("line").alias(f"{x}_line")) for x in "uv")
-    # by groups of a few pairs, so that the shingles of u are made once for these
-    group = F.pmod(F.xxhash64("v"), F.greatest(F.lit(1), F.ceil(F.col("pairs") / 16)))
-    counted = pairs.join(pairs.groupBy("u").agg(F.count(F.lit(1)).alias("pairs")), "u").select("u", "v", group.alias("group"))
-    held = counted.join(b, "v").groupBy("u", "group").agg(F.collect_list(F.struct("v", "v_line")).alias("others")).join(a, "u")
-    each = held.select("u", F.array_distinct(shingle_runs("u_line")).alias("own"), F.explode("others").alias("x"))
-    places = F.greatest(F.length("x.v_line") - SHINGLE + 1, F.lit(1))
-    each = each.filter(places >= F.size("own") * threshold - 1e-9).select("u", "x.v", "own", F.array_distinct(shingle_runs(F.col("x.v_line"))).alias("other"))
-    shared, total = F.size(F.array_intersect("own", "other")), F.size("own") + F.size("other")
+    own = [F.array_distinct(shingle_runs(f"{x}_line")).alias(x * 2) for x in "uv"]
+    each = pairs.join(a, "u").join(b, "v").select("u", "v", *own)
+    shared, total = F.size(F.array_intersect("uu", "vv")), F.size("uu") + F.size("vv")
     return each.filter(shared * (1 + threshold) >= total * threshold - 1e-9).select("u", "v")
 
 
-def split_bands(shared: DataFrame, roots: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(node, root, n): the lines of bands that did not make all their pairs and hold a line of another component, of
-    a size near enough to its own; n: their numbers of distinct shingles."""
-    large = materialize(shared.filter(F.col("k") > NEIGHBOURS + 1).select("band", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "line-large")
+def split_bands(shared: DataFrame, roots: DataFrame, sketch: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(band, k, next, node, root, n, x0, ...): the lines of bands that hold a line of another component, of a size near
+    enough to its own."""
+    large = materialize(shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "line-large")
     split = large.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("z")).filter("a <> z").select("band")
-    members = materialize(large.join(split, "band", "left_semi"), "line-split")
-    own = texts.join(members.select("node").distinct(), "node", "left_semi")
-    sizes = materialize(own.select("node", F.size(F.array_distinct(shingle_runs("line"))).cast("double").alias("n")), "line-sizes")
+    members = large.join(split, "band", "left_semi")
     # by steps of sizes, so wide that sets of one step and the next are near enough, with those of both sides
     step = F.floor(F.log("n") / F.lit(-math.log(threshold)))
-    sized = members.join(sizes, "node").withColumn("step", step.cast("int"))
+    sized = materialize(members.join(sketch, "node").withColumn("step", step.cast("int")), "line-split")
     near = sized.groupBy("band", "step").agg(F.min("root").alias("a"), F.max("root").alias("z"))
     near = near.select("a", "z", "band", F.explode(F.array(*(F.col("step") + k for k in (-1, 0, 1)))).alias("step"))
     near = near.groupBy("band", "step").agg(F.min("a").alias("a"), F.max("z").alias("z")).filter("a <> z").select("band", "step")
-    return sized.join(near, ["band", "step"], "left_semi").select("node", "root", "n").distinct()
+    return sized.join(near, ["band", "step"], "left_semi").drop("step")
+
+
+def met(a: DataFrame, b: DataFrame, on: list[str], threshold: float = THRESHOLD) -> DataFrame:
+    """(u, v, root_u, root_v, bits): the pairs of members that meet by on, of different roots, that may reach the
+    threshold by their sketches; bits of these differ."""
+    a, b = (side(x.select(*on, "node", "root", "n", *WORD), y, *on) for x, y in ((a, "u"), (b, "v")))
+    pairs = a.join(b, on).filter((F.col("root_u") != F.col("root_v")) & near_enough(threshold))
+    return pairs.select(F.col("node_u").alias("u"), F.col("node_v").alias("v"), "root_u", "root_v", differing().alias("bits"))
+
+
+def pairs_of_runs(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """As met, all pairs of each band of at most FULL lines, and those of runs of FULL lines of larger bands, in the
+    order of the next band's values."""
+    run = F.when(F.col("k") > RUN, F.pmod("next", F.ceil(F.col("k") / RUN))).otherwise(F.lit(0))
+    w = W.partitionBy("band", "run").orderBy("next", "node")
+    part = F.when(F.col("k") > FULL, F.floor((F.row_number().over(w) - 1) / FULL)).otherwise(F.lit(0))
+    own = members.withColumn("run", run).withColumn("part", part)
+    return met(own, own, ["band", "run", "part"], threshold).filter("u > v")
+
+
+def pairs_of_outsiders(members: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """As met, all pairs of each band that may be similar enough. Outsiders are the lines outside a band's most frequent
+    root: up to OUTSIDE of them are compared with all lines by sketches, more by prefix filters."""
+    size = members.groupBy("band", "root").agg(F.count(F.lit(1)).alias("k"))
+    main = size.groupBy("band").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.sum("k").alias("k"), (F.sum("k") - F.max("k")).alias("outside"))
+    own = materialize(members.drop("k", "next").join(main, "band"), "line-outside")
+    few, many = own.filter(F.col("outside") <= OUTSIDE), own.filter(F.col("outside") > OUTSIDE)
+    # a band's lines are dealt to parts of about RUN, its outsiders go to each of them
+    parts = F.ceil(F.col("k") / RUN)
+    outsiders = few.filter("root <> main").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    pairs = met(outsiders, few.withColumn("part", F.pmod(F.xxhash64("node"), parts)), ["band", "part"], threshold)
+    if many.isEmpty():
+        return pairs
+    likely = materialize(not_alone(many.select("band", "node", "root", "n"), texts, threshold), "line-not-alone")
+    found = prefix_pairs(likely, texts, threshold).distinct()
+    lines = many.dropDuplicates(["node"]).select("node", "root", "n", *WORD)
+    a, b = (side(lines, x).withColumnRenamed(f"node_{x}", x) for x in "uv")
+    found = found.join(a, "u").join(b, "v").filter(near_enough(threshold))
+    return pairs.union(found.select("u", "v", "root_u", "root_v", differing().alias("bits")))
+
+
+def not_alone(members: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Those of members (band, node, root, n) that may be similar to a line of their band under another root, told by
+    SOME eighths of all shingle hashes: who has too many shingles there that no other root has is similar to none."""
+    lines = texts.join(members.select("node").distinct(), "node", "left_semi")
+    some = F.filter(F.array_distinct(shingle_runs("line")), lambda h: h.bitwiseAND(F.lit(7)) < SOME)
+    own = members.join(lines.select("node", some.alias("some")), "node")
+    each = materialize(own.select("band", "node", "root", F.explode("some").alias("s")), "line-some")
+    alone = each.groupBy("band", "s").agg(F.min("root").alias("root"), F.max("root").alias("z")).filter("root = z").select("band", "s")
+    count = each.join(alone.hint("shuffle_hash"), ["band", "s"], "left_semi").groupBy("band", "node").agg(F.count(F.lit(1)).alias("alone"))
+    told = members.join(count, ["band", "node"], "left")
+    return told.filter(F.col("n") - F.coalesce("alone", F.lit(0)) >= F.col("n") * threshold - 1e-6).drop("alone")
 
 
 def prefix_pairs(members: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(u, v): all pairs of members (node, root, n) of different roots that can be similar enough, by prefix filters.
+    """(u, v): all pairs of members (band, node, root, n) of one band and different roots that can be similar enough, by
+    prefix filters.
 
     Sets of n and m <= n shingles that reach the threshold t share at least a = ceil(t (n + m) / (1 + t)). In one order
     of all shingles they have one in common among the first n - a + 1 of the one and m - a + 1 of the other: for the
     larger set at most n - ceil(t n) + 1, as m >= t n, for the smaller m - ceil(2 t m / (1 + t)) + 1, as n >= m. In the
-    order, shingles that stand under one root only come first, as they make no pair, then rare ones; so what a template
-    gives to all its lines comes last, and is in no prefix of a smaller set where lines differ by more than the
-    threshold allows. In a posting only lines outside its most frequent root look for partners."""
+    order, shingles that stand under one root of the band only come first, as they make no pair, then rare ones; so what
+    a template gives to all its lines comes last, and is in no prefix of a smaller set where lines differ by more than
+    the threshold allows. In a posting only lines outside its most frequent root look for partners."""
     t = threshold
-    own = materialize(texts.join(members, "node").select("node", "root", "n", "line"), "line-members")
-    each = own.select("node", "root", "n", F.explode(F.array_distinct(shingle_runs("line"))).alias("s"))
-    told = each.groupBy("s").agg(F.count(F.lit(1)).alias("df"), F.min("root").alias("least"), F.max("root").alias("most"))
-    told = materialize(told.filter("least <> most").select("s", "df"), "line-told")
+    own = materialize(texts.join(members.select("band", "node", "root", "n"), "node"), "line-members")
+    each = own.select("band", "node", "root", "n", F.explode(F.array_distinct(shingle_runs("line"))).alias("s"))
+    told = each.groupBy("band", "s").agg(F.count(F.lit(1)).alias("df"), F.min("root").alias("least"), F.max("root").alias("most"))
+    told = materialize(told.filter("least <> most").select("band", "s", "df"), "line-told")
     # counted from the end, where the shingles of one root only are missing
-    last = F.row_number().over(W.partitionBy("node").orderBy(F.desc("df"), F.desc("s")))
+    last = F.row_number().over(W.partitionBy("band", "node").orderBy(F.desc("df"), F.desc("s")))
     n = F.col("n")
-    ranked = each.join(told.hint("shuffle_hash"), "s").withColumn("last", last).filter(F.col("last") >= F.ceil(n * t - 1e-6))
-    posts = ranked.select("s", "node", "n", "root", (n + 1 - F.col("last")).alias("rank"), (F.col("last") >= F.ceil(n * 2 * t / (1 + t) - 1e-6)).alias("small"))
+    ranked = each.join(told.hint("shuffle_hash"), ["band", "s"]).withColumn("last", last).filter(F.col("last") >= F.ceil(n * t - 1e-6))
+    posts = ranked.select("band", "s", "node", "n", "root", (n + 1 - F.col("last")).alias("rank"), (F.col("last") >= F.ceil(n * 2 * t / (1 + t) - 1e-6)).alias("small"))
     posts = materialize(posts, "line-posts")
-    main = posts.groupBy("s", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("s").agg(F.max_by("root", F.struct("k", "root")).alias("main"))
-    a = posts.join(main, "s").filter("root <> main").select("s", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "root", "rank", "small")))
-    b = posts.select("s", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "root", "rank", "small")))
+    main = posts.groupBy("band", "s", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("band", "s").agg(F.max_by("root", F.struct("k", "root")).alias("main"))
+    a = posts.join(main, ["band", "s"]).filter("root <> main").select("band", "s", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "root", "rank", "small")))
+    b = posts.select("band", "s", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "root", "rank", "small")))
     sized = (F.greatest("n_a", "n_b") * t - 1e-9 <= F.least("n_a", "n_b")) & F.when(F.col("n_a") < F.col("n_b"), F.col("small_a")).when(F.col("n_a") > F.col("n_b"), F.col("small_b")).otherwise(F.col("small_a") | F.col("small_b"))
     # a shingle at these places leaves so many at most to share, beside those before it
     left = F.least("n_a", "n_b") - 1 >= F.ceil((F.col("n_a") + F.col("n_b")) * t / (1 + t) - 1e-6) - F.least("rank_a", "rank_b")
-    met = a.join(b, "s").filter((F.col("root_a") != F.col("root_b")) & sized & left)
-    first = F.struct("n_a", "node_a") > F.struct(F.col("n_b").alias("n_a"), F.col("node_b").alias("node_a"))
-    return met.select(F.when(first, F.col("node_a")).otherwise(F.col("node_b")).alias("u"), F.when(first, F.col("node_b")).otherwise(F.col("node_a")).alias("v")).distinct()
+    met = a.join(b, ["band", "s"]).filter((F.col("root_a") != F.col("root_b")) & sized & left)
+    return met.select(F.greatest("node_a", "node_b").alias("u"), F.least("node_a", "node_b").alias("v"))
+
+
+def verified_best(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(u, v) as roots: those joined by the pair of lines whose sketches differ least, if it is similar enough."""
+    best = pairs.groupBy("root_u", "root_v").agg(F.min(F.struct("bits", "u", "v")).alias("x")).select("x.u", "x.v", "root_u", "root_v")
+    best = materialize(best, "line-best")
+    links = verified(best.select("u", "v").distinct(), texts, threshold)
+    return best.join(links, ["u", "v"]).select(F.col("root_u").alias("u"), F.col("root_v").alias("v"))
+
+
+def merged(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """(node, root) with the components of roots more (node, root) joined; a node without a row is its own root."""
+    new = more.withColumnsRenamed({"node": "old", "root": "new"})
+    held = roots.join(new, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))
+    return materialize(held.union(more.join(roots, "node", "left_anti")), "line-roots")
+
+
+def still_apart(pairs: DataFrame, more: DataFrame) -> DataFrame:
+    """The pairs (u, v, root_u, root_v, bits) with new roots, without those of one root."""
+    for x in "uv":
+        new = more.select(F.col("node").alias(f"root_{x}"), F.col("root").alias("new"))
+        pairs = pairs.join(new, f"root_{x}", "left").withColumn(f"root_{x}", F.coalesce("new", f"root_{x}")).drop("new")
+    return pairs.filter("root_u <> root_v").select("u", "v", "root_u", "root_v", "bits").distinct()
 
 
 def line_roots(distinct: DataFrame, docs: DataFrame, wide: bool, threshold: float = THRESHOLD) -> DataFrame:
     """(node, root) of distinct lines (node, n, b1, b2, ...) in components of similar lines: each verified pair that
-    shares a band is in one component."""
+    shares a band is in one component. Of the pairs between two components the likeliest is verified first, and the
+    others only where the components are then still apart."""
     shared = shared_bands(distinct)
     texts = materialize(fetched(shared.select("node").distinct(), docs, wide).select("node", "line"), "line-texts")
-    links = materialize(verified(neighbour_pairs(shared), texts, threshold), "line-links")
-    roots = materialize(connected_components(links, "line-components"), "line-roots")
-    members = materialize(split_bands(shared, roots, texts, threshold), "line-near")
-    if members.isEmpty():
-        return roots
-    more = materialize(verified(prefix_pairs(members, texts, threshold), texts, threshold), "line-links")
-    if more.isEmpty():
-        return roots
-    return connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more), "line-components")
+    sketch = materialize(sketches(texts), "line-sketches")
+    links = verified(materialize(close_pairs(neighbour_pairs(shared), sketch, threshold), "line-pairs"), texts, threshold)
+    roots = materialize(connected_components(materialize(links, "line-links"), "line-components"), "line-roots")
+
+    def joined(pairs: DataFrame, roots: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        links = materialize(links, "line-links")
+        if links.isEmpty():
+            return pairs, roots
+        more = materialize(connected_components(links, "line-components"), "line-more")
+        return materialize(still_apart(pairs, more), "line-apart"), merged(roots, more)
+
+    members = materialize(split_bands(shared.filter(F.col("k") > NEIGHBOURS + 1), roots, sketch, threshold), "line-near")
+    pairs = materialize(pairs_of_runs(members, threshold).distinct(), "line-pairs")
+    pairs, roots = joined(pairs, roots, verified_best(pairs, texts, threshold))
+    members = materialize(split_bands(shared.filter(F.col("k") > FULL), roots, sketch, threshold), "line-near")
+    if not members.isEmpty():
+        pairs = materialize(pairs.union(pairs_of_outsiders(members, texts, threshold)).distinct(), "line-pairs")
+    pairs, roots = joined(pairs, roots, verified_best(pairs, texts, threshold))
+    left = verified(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), texts, threshold)
+    ends = pairs.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b"), "root_u", "root_v")
+    left = ends.join(left, (F.col("a") == F.col("u")) & (F.col("b") == F.col("v"))).select(F.col("root_u").alias("u"), F.col("root_v").alias("v"))
+    return joined(pairs, roots, left)[1]
 
 
 def kept_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -266,6 +266,46 @@ def test_lines_of_a_large_band(spark, monkeypatch):
     assert not got - want and len(got) >= 0.99 * len(want) and len(want) >= 390
 
 
+@pytest.mark.parametrize("full, outside", [(4, 2), (4, 256), (32, 256)])
+def test_lines_of_split_bands(spark, monkeypatch, full, outside):
+    """Bands of several components: by sketches alone, by outsiders, by prefix filters."""
+    monkeypatch.setattr(lines, "FULL", full)
+    monkeypatch.setattr(lines, "OUTSIDE", outside)
+    rng = random.Random(53)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    texts = []
+    for _ in range(4):
+        template = [word() for _ in range(36)]
+        for k in range(40):
+            w = list(template)
+            for j in rng.sample(range(36), 1 + k % 4):
+                w[j] = word()
+            texts.append(" ".join(w))
+    rng.shuffle(texts)
+    sets = [line_set(x) for x in texts]
+    near = [(a, b) for b in range(160) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9]
+    roots = plain_components(range(160), near)
+    got = {r.doc_id for r in lines.line_decisions(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect() if r.removed}
+    assert got == {a for a in range(160) if roots[a] != a} and 20 < len(got) < 156
+
+
+def test_sketches_reject_no_similar_pair(spark):
+    """Repeats within a line included; few pairs that are not similar get past."""
+    rng = random.Random(59)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(5))
+    passage, texts = " ".join(word() for _ in range(20)), []
+    for k in range(40):
+        own = [word() for _ in range(10 + k)] * (1 + k % 3)
+        texts += [" ".join(own) + " " + passage, " ".join(own[1:]) + " " + passage, passage + " " + word() * 3]
+    sets = [line_set(x) for x in texts]
+    sketch = lines.sketches(spark.createDataFrame(list(enumerate(texts)), "node long, line string"))
+    assert {r.node: r.n for r in sketch.collect()} == {k: len(x) for k, x in enumerate(sets)}
+    every = [(a, b) for a in range(len(texts)) for b in range(a)]
+    near = {(a, b) for a, b in every if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    got = {(r.u, r.v) for r in lines.close_pairs(spark.createDataFrame(every, "u long, v long"), sketch).collect()}
+    assert near <= got and len(near) > 40 and len(got) < 2 * len(near) + 200
+
+
 def test_lines_edges(nothing, clashing):
     assert lines.dedup_lines(nothing).count() == 0 and lines.line_decisions(nothing).count() == 0
     out = lines.dedup_lines(clashing)
