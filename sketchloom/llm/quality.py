@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import columns_or_null, materialize
@@ -151,9 +152,48 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def fit_forest(stats: DataFrame, labels: DataFrame, sample_rows: int = 25_600, label_rows: int = 20_000) -> Forest:
-    """Fit on a bounded sample of rows and calibrate on a bounded sample of the labelled rows
-    that pass the base rule, both in hash order of ids."""
+#: Ranges of scores whose totals come to the driver, so that no task sorts all labelled rows.
+RANGES = 4096
+
+
+def fit_thresholds(forest: Forest, judged: DataFrame, most_good_lost: float = 0.01) -> None:
+    """As Forest.calibrate, from all rows of judged (the inputs of the features, good): the same thresholds."""
+
+    def run(batches):
+        for b in batches:
+            x = features(*(b.column(c).to_numpy() for c in _INPUTS))
+            cols = [pa.array(x.argmax(axis=1), pa.int32()), pa.array(forest.score(x)), b.column("good")]
+            yield pa.RecordBatch.from_arrays(cols, ["kind", "score", "good"])
+
+    scored = judged.select(*_INPUTS, "good").mapInArrow(run, "kind int, score double, good boolean")
+    place = F.least(F.floor(F.col("score") * RANGES), F.lit(RANGES - 1)).cast("int").alias("range")
+    n = [F.sum(F.when(c, 1).otherwise(0)).alias(x) for c, x in ((F.col("good"), "lost"), (~F.col("good"), "hit"))]
+    each = materialize(scored.groupBy("kind", "score", place).agg(*n), "quality-scores")
+    sums, before, all_ = each.groupBy("kind", "range").agg(F.sum("lost").alias("lost"), F.sum("hit").alias("hit")).collect(), [], {}
+    for r in sorted(sums, key=lambda r: (r.kind, -r["range"])):
+        lost, hit = all_.get(r.kind, (0, 0))
+        before.append((r.kind, r["range"], lost, hit))
+        all_[r.kind] = lost + r.lost, hit + r.hit
+    if not before:
+        return
+    rows = [(*r, *(max(1, x) for x in all_[r[0]])) for r in before]
+    known = each.sparkSession.createDataFrame(rows, "kind int, range int, lost_0 long, hit_0 long, lost_all long, hit_all long")
+    w = W.partitionBy("kind", "range").orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    share = lambda x: (F.sum(x).over(w) + F.col(f"{x}_0")) / F.col(f"{x}_all")
+    ends = each.join(F.broadcast(known), ["kind", "range"]).select("kind", "score", share("lost").alias("lost"), share("hit").alias("hit"))
+    value = F.when(F.col("lost") <= most_good_lost, F.col("hit") - F.col("lost")).otherwise(F.lit(0.0))
+    # of equal values the highest score, as the first in falling order
+    for r in ends.groupBy("kind").agg(F.max(F.struct(value.alias("value"), "score")).alias("x")).select("kind", "x.*").collect():
+        if r.value <= 0:
+            forest.thresholds[r.kind] = np.inf
+            continue
+        below = each.filter((F.col("kind") == r.kind) & (F.col("score") < r.score)).agg(F.max("score")).first()[0]
+        forest.thresholds[r.kind] = (r.score + (r.score - 1e-6 if below is None else below)) / 2
+
+
+def fit_forest(stats: DataFrame, labels: DataFrame, sample_rows: int = 25_600) -> Forest:
+    """An isolation forest learns each tree from few rows by its method: 100 trees take 256 each of the first 25,600
+    rows in hash order of ids. Its thresholds come from all labelled rows that pass the base rule."""
 
     def bounded(df: DataFrame, n: int) -> np.ndarray:
         place, total = F.shiftrightunsigned(F.xxhash64("doc_id"), 1), max(1, df.count())
@@ -168,13 +208,13 @@ def fit_forest(stats: DataFrame, labels: DataFrame, sample_rows: int = 25_600, l
 
     cols = ["doc_id", *_INPUTS]
     x = bounded(stats.select(*cols), sample_rows)
-    forest = Forest.fit(features(*x[:, 1:].T)) if len(x) else Forest([], 2)
+    if not len(x):
+        return Forest([], 2)
+    forest = Forest.fit(features(*x[:, 1:].T))
     own = columns_or_null(labels, doc_id="long", quality="int").filter("doc_id is not null and quality is not null")
     own = own.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     judged = stats.filter(~base_failed()).select(*cols).join(own, "doc_id")
-    y = bounded(judged.select(*cols, "quality"), label_rows)
-    if len(x) and len(y):
-        forest.calibrate(features(*y[:, 1:7].T), y[:, 7] > 0)
+    fit_thresholds(forest, judged.withColumn("good", F.col("quality") > 0))
     return forest
 
 

@@ -52,6 +52,21 @@ def test_quality_verdicts(judged):
     assert quality.keep_quality(judged, judged).columns == judged.columns
 
 
+def test_quality_thresholds_of_all_labels(spark, judged):
+    """The thresholds of all labelled rows, of which the first 20,000 in hash order would not do."""
+    rng = np.random.default_rng(5)
+    n = 24_000
+    rows = [(i, 200, 900, int(a), 20, int(b), int(c)) for i, a, b, c in zip(range(n), rng.integers(0, 60, n), rng.integers(0, 6, n), rng.integers(0, 40, n))]
+    stats = spark.createDataFrame(rows, "doc_id long, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long")
+    good = {r[0]: bool(rng.random() < 1.1 - (r[3] / 45 + r[5] / 8 + r[6] / 45) / 1.5) for r in rows}
+    labels = spark.createDataFrame([(i, int(g)) for i, g in good.items()], "doc_id long, quality int")
+    forest = quality.fit_forest(stats, labels)
+    x = np.array([r[1:] for r in rows], float)
+    same = quality.Forest(forest.trees, forest.sample)
+    same.calibrate(quality.features(*x.T), np.array([good[r[0]] for r in rows]))
+    assert forest.thresholds.tolist() == same.thresholds.tolist() and np.isfinite(same.thresholds).any()
+
+
 def test_quality_edges(nothing, clashing, judged):
     assert quality.quality_verdicts(nothing, judged).count() == 0
     rows = quality.quality_verdicts(clashing, judged.limit(0)).collect()
