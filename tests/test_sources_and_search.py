@@ -8,7 +8,7 @@ import pytest
 from programs import PROGRAMS
 from pyspark.sql import functions as F
 
-from sketchloom.evaluate import RUN_FAILED, Workload, evaluate, evaluate_over, evaluate_programs
+from sketchloom.evaluate import RUN_FAILED, Workload, evaluate, evaluate_over, evaluate_programs, stored_workload
 from sketchloom.operators import cases as C
 from sketchloom.operators.sketch import build_cells
 from sketchloom.search.islands import Config, Island, Member, champions, dump, holdout, load, rescale, search, typical_error
@@ -125,6 +125,19 @@ def test_evaluation(spark):
     assert evaluate_programs(bad, w).first().failed == "parse"
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 1000])
+def test_stored_stream(spark, n):
+    """The same workload and results as of a list, and no items within what travels with the tasks."""
+    items = [f"item{k * k % 97}" + "__absent__1" * (k % 50 == 0) for k in range(n)]
+    rows = spark.createDataFrame([(k, e) for k, e in enumerate(items)], "seq long, e string").repartition(5)
+    held, stored = Workload.of(items, absent=8), stored_workload(rows, absent=8)
+    assert [list(s) for s in stored.stages] == held.stages and [len(s) for s in stored.stages] == [len(s) for s in held.stages]
+    assert stored.absent == held.absent and not any(isinstance(s, list) for s in stored.stages)
+    if n == 1000:
+        programs = K.program_table(spark, [K.Candidate(PROGRAMS[k][1]) for k in ("triple", "constant write")])
+        assert sorted(evaluate_programs(programs, stored).collect()) == sorted(evaluate_programs(programs, held).collect())
+
+
 def test_search_is_repeatable(spark):
     cfg = Config(population=6, islands=2, rounds=2, children=6, seed=3, stop_at=-1)
     w = Workload.of(ITEMS, absent=4)
