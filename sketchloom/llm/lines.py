@@ -8,7 +8,7 @@ agree in each value with a chance of J; a band is two values, so of BANDS = 6 a
 
 In each band a line is compared with a few others that follow one another in the order of the next band's values, which
 joins groups of similar lines at a cost linear in the band. Bands that are then still in several components are
-compared in full across these, by prefix filters, so every pair that shares a band and reaches the threshold is in one
+compared in full across these, by sketches or prefix filters, so every pair that shares a band and reaches the threshold is in one
 component.
 
 A line is named by its place, doc_id * 2**27 + line number, so the least name of a component is its first line."""
