@@ -1,19 +1,29 @@
 """Readers, workloads, candidates, streaming ingest, evaluation and search."""
 
 import json
+import pickle
+import random
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import pytest
 from programs import PROGRAMS
 from pyspark.sql import functions as F
 
-from sketchloom.evaluate import RUN_FAILED, Workload, evaluate, evaluate_over, evaluate_programs, stored_workload
+from sketchloom.evaluate import RUN_FAILED, Workload, evaluate, evaluate_over, evaluate_programs, like_absent, stored_stream, stored_workload, workload_of
 from sketchloom.operators import cases as C
 from sketchloom.operators.sketch import build_cells
+from sketchloom.plans.compiled import compiled
+from sketchloom.plans.grammar import BUSY, MAIN
+from sketchloom.plans.nodes import Call, Const
+from sketchloom.plans.program import Program
+from sketchloom.plans.semantics import Machine
 from sketchloom.search.islands import Config, Island, Member, champions, dump, holdout, load, rescale, search, typical_error
+from sketchloom.search.trees import Trees
 from sketchloom.sources import candidates as K
 from sketchloom.sources import traces as T
+from sketchloom.sources.candidates import SAFE
 from sketchloom.streaming.ingest import streaming_cells, streaming_fold
 
 
@@ -138,6 +148,67 @@ def test_stored_stream(spark, n):
         assert sorted(evaluate_programs(programs, stored).collect()) == sorted(evaluate_programs(programs, held).collect())
 
 
+def test_compiled_programs_do_what_the_machine_does():
+    """Results, cells, flags and writes of random programs of both dialects, with counters that overflow or end at 0."""
+    w, ordered = Workload.of(ITEMS, absent=8), set()
+    huge = Program.parse(SAFE["init_dex"], "base(update_count(e, 0, 4294967000), update_count(e, 1, -1), updatecount_if(gt(query_count(e, 0), 5), e, 2, 4294967290))", SAFE["query"])
+    still = Program.parse(SAFE["init_dex"], "base(update_count(e, 0, 100000000), update_count(e, 1, -1), updatecount_if(gt(3, 2), e, 2, 4294967290))", SAFE["query"])
+    programs = [huge, still, *(p for _, p in PROGRAMS.values())]
+    for dialect in (MAIN, BUSY):
+        trees = Trees(random.Random(5), dialect)
+        for k in range(60):
+            parts = [trees.ramped(x) for x in ("init_dex", "update", "query")]
+            if dialect is MAIN and k % 2:
+                parts[0] = dialect.init.parse(SAFE["init_dex"])
+            programs.append(Program(*parts, dialect))
+    for p in programs:
+        fast, machine, rows = compiled(p), p.machine(), []
+        if fast is None:
+            continue
+        ordered.add(fast.ordered)
+        for k, items in enumerate(w.stages):
+            w.counted().update(fast, k, rows)
+            for e in items:
+                machine.update(e)
+            assert [fast.query(e) for e in ITEMS[:23]] == [machine.query(e) for e in ITEMS[:23]], p
+        g = p.dialect.geometry
+        place = lambda c, g=g: (c // (g.rows * g.cols), c // g.cols % g.rows, c % g.cols)
+        assert {place(c): n for c, n in enumerate(fast.count) if n} == {c: n for c, n in machine.count.items() if n}, p
+        assert {place(c) for c, x in enumerate(fast.flag) if x} == {c for c, x in machine.flag.items() if x}, p
+        assert (fast.writes, fast.reads) == (machine.writes, machine.reads), p
+    assert ordered == {True, False}
+
+
+def test_evaluation_needs_no_machine(monkeypatch):
+    """Items are not run one by one through the sequential machine, which took most of a search's time."""
+    w, p = Workload.of(ITEMS, absent=8), PROGRAMS["triple"][1]
+    want = evaluate(p, w, hardest=2)
+    monkeypatch.setattr(Machine, "update", lambda self, e: 1 / 0)
+    assert evaluate(p, Workload.of(ITEMS, absent=8), hardest=2) == want and want.failed is None
+
+
+def test_failures_are_those_of_the_machine():
+    p = PROGRAMS["triple"][1]
+    args = p.query.args
+    bad = replace(p, query=Call("base_sel", (Const(1), *args[1:3], Call("safe_add", (args[3], Const(10**400))))))
+    assert evaluate(p, Workload.of(ITEMS, absent=8)).failed is None and evaluate(bad, Workload.of(ITEMS, absent=8)).failed == "run: OverflowError"
+
+
+def test_search_over_a_stored_stream(spark):
+    """The same islands as over a list, without items in what travels with the tasks."""
+    cfg = Config(population=6, islands=2, rounds=1, children=6, seed=3, stop_at=-1)
+    items = [f"item{k * k % 97}" + "__absent__1" * (k % 50 == 0) for k in range(700)]
+    rows = spark.createDataFrame(list(enumerate(items)), "seq long, e string").repartition(3)
+    stored, taken = stored_stream(rows), like_absent(rows)
+    first, rest = workload_of(replace(stored, stop=560), taken), workload_of(replace(stored, start=560), taken)
+    held = Workload.of(items[:560])
+    assert (first.absent, rest.absent) == (held.absent, Workload.of(items[560:]).absent)
+    assert [list(s) for s in rest.stages] == Workload.of(items[560:]).stages
+    assert [dump(i) for i in search(spark, first, cfg)] == [dump(i) for i in search(spark, held, cfg)]
+    first.counted()
+    assert b"item1" not in pickle.dumps(replace(first, absent=[])) and b"item1" not in pickle.dumps(first.stages)
+
+
 def test_search_is_repeatable(spark):
     cfg = Config(population=6, islands=2, rounds=2, children=6, seed=3, stop_at=-1)
     w = Workload.of(ITEMS, absent=4)
