@@ -111,15 +111,22 @@ def signatures(shingles: DataFrame, key: str) -> DataFrame:
     return found.select(key, "node", "n", own.alias("own"), *bands)
 
 
+def looked_at(every: DataFrame) -> DataFrame:
+    """The shingles of lines (node, digest, n, cut, line) that enter the signatures. A filter is not moved below a column
+    that numbers rows, so each hash is worked out once."""
+    each = exploded_shingles(every, "node", "digest", "n", "cut").withColumn("row", F.monotonically_increasing_id())
+    low = F.col("h").bitwiseAND(F.lit(LOW)) <= F.col("cut")
+    own = low & (F.shiftrightunsigned("h", 60) < VALUES)
+    return each.filter((F.col("row") >= 0) & ((F.col("at") <= 4 * FIRST) | (F.col("n") <= ENOUGH) | own)).drop("row")
+
+
 def distinct_lines(docs: DataFrame, wide: bool) -> DataFrame:
     """(node, n, b1, b2, ...) of the distinct lines, node the place of the first, n their places where a shingle begins."""
     every = split_lines(docs).filter(~blank(F.col("line")) & (F.col("line_no") < LINES))
     n = F.greatest(F.length("line") - SHINGLE + 1, F.lit(1))
     every = every.select(place(wide).alias("node"), F.unhex(F.md5("line")).alias("digest"), n.alias("n"), "line")
     every = every.withColumn("cut", cut(F.col("n")))
-    each = exploded_shingles(every, "node", "digest", "n", "cut")
-    low = F.col("h").bitwiseAND(F.lit(LOW)) <= F.col("cut")
-    each = each.filter((F.col("at") <= 4 * FIRST) | (F.col("n") <= ENOUGH) | (low & (F.shiftrightunsigned("h", 60) < VALUES)))
+    each = looked_at(every)
     names = ["node", "n", *(f"b{i + 1}" for i in range(BANDS))]
     first = materialize(signatures(each, "digest").withColumn("again", (F.col("n") > ENOUGH) & (F.col("own") < LEAST_OWN)).select("again", *names), "lines")
     again = first.filter("again").select("node", "n")
@@ -132,8 +139,10 @@ def distinct_lines(docs: DataFrame, wide: bool) -> DataFrame:
 
 
 def fetched(needed: DataFrame, docs: DataFrame, wide: bool) -> DataFrame:
-    """The rows of needed (node, ...) with the lines they name."""
+    """The rows of needed (node, ...) with the lines they name. Only texts that hold one are split."""
     if needed.count() <= BROADCAST_LINES:
+        holders = F.floor(F.col("node") / F.lit(LINES)).cast("long") if wide else F.shiftright("node", 27)
+        docs = columns_or_null(docs, doc_id="long", text="string").join(F.broadcast(needed.select(holders.alias("doc_id")).distinct()), "doc_id", "left_semi")
         needed = F.broadcast(needed)
     lines = split_lines(docs).filter(F.col("line_no") < LINES).select(place(wide).alias("node"), "line")
     return lines.join(needed, "node").dropDuplicates(["node"])
@@ -190,6 +199,11 @@ def neighbour_pairs(shared: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(u, v) of those pairs (u, v) whose lines, among texts (node, line), reach the threshold by exact Jaccard."""
+    k = pairs.count()
+    if not k:
+        return pairs
+    if 2 * k <= BROADCAST_LINES:
+        texts = texts.join(F.broadcast(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()), "node", "left_semi")
     a, b = (texts.select(F.col("node").alias(x), F.col("line").alias(f"{x}_line")) for x in "uv")
     own = [F.array_distinct(shingle_runs(f"{x}_line")).alias(x * 2) for x in "uv"]
     each = pairs.join(a, "u").join(b, "v").select("u", "v", *own)

@@ -203,6 +203,26 @@ def test_lines_of_one_template(spark):
     assert got == {a for a in range(300) if roots[a] != a} and 100 < len(got) < 200
 
 
+def test_shingle_hashes_are_worked_out_once(spark):
+    """Not once more for each condition of the filter behind them."""
+    rows = [(1, b"x", 40, 2**59, "a line of forty characters, more or less"), (2, b"y", 5, 2**60 - 1, "short")]
+    every = spark.createDataFrame(rows, "node long, digest binary, n int, cut long, line string")
+    found = lines.looked_at(every)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("xxhash64(") == 1
+    assert {r.node for r in found.collect()} == {1, 2} and "row" not in found.columns
+
+
+def test_lines_are_fetched_from_texts_that_hold_them(spark):
+    """Also of ids below zero; texts that hold none are not split."""
+    docs = spark.createDataFrame([(-3, "a\nb"), (5, "c\nd\ne"), (None, "f"), (6, None)], "doc_id long, text string")
+    needed = spark.createDataFrame([(-3 * lines.LINES + 1, "x"), (5 * lines.LINES, "y"), (5 * lines.LINES + 2, "z")], "node long, more string")
+    for wide in (False, True):
+        found = lines.fetched(needed, docs, wide)
+        assert sorted((r.line, r.more) for r in found.collect()) == [("b", "x"), ("c", "y"), ("e", "z")]
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("LeftSemi") > plan.index("split(")  # nearer to the table
+
+
 def test_lines_of_any_script_and_length(spark):
     """Against all pairs of plain sets: no word starts, no least size."""
     rng = random.Random(17)
