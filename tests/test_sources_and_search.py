@@ -11,10 +11,12 @@ import pytest
 from programs import PROGRAMS
 from pyspark.sql import functions as F
 
-from sketchloom.evaluate import RUN_FAILED, Workload, evaluate, evaluate_over, evaluate_programs, like_absent, stored_stream, stored_workload, workload_of
+from sketchloom.evaluate import RUN_FAILED, Workload, evaluate, evaluate_over, evaluate_programs, judged, like_absent, stored_stream, stored_workload, workload_of
 from sketchloom.operators import cases as C
 from sketchloom.operators.sketch import build_cells
-from sketchloom.plans.compiled import compiled
+from sketchloom.plans.analyze import structural_penalty
+from sketchloom.plans.columns import Columns
+from sketchloom.plans.compiled import Compiled, compiled
 from sketchloom.plans.grammar import BUSY, MAIN
 from sketchloom.plans.nodes import Call, Const
 from sketchloom.plans.program import Program
@@ -187,6 +189,33 @@ def test_evaluation_needs_no_machine(monkeypatch):
     assert evaluate(p, Workload.of(ITEMS, absent=8), hardest=2) == want and want.failed is None
 
 
+def test_ordered_programs_run_by_columns(monkeypatch):
+    """Where the order matters, items are not run one by one either; nor is any hashed again for another program."""
+    texts = ["base(updatecount_if(lt(query_count(e, 1), 3), e, 0, 2), update_count(e, 1, 1), write_count(str_slice(e, 0, 5), query_count(e, 0), safe_mul(query_count(e, 0), 70000)))",
+             "base(write_count(e, 0, safe_sub(7, query_count(e, 0))), update_state(e, 1, gt(query_count(e, 0), 3)), update_count(e, 2, 4294967290))"]
+    programs = [Program.parse(SAFE["init_dex"], t, SAFE["query"]) for t in texts]
+    items = [f"item{k * k % 97}" for k in range(700)]
+    w = Workload.of(items, absent=8)
+    want = [judged(p.machine(), w, structural_penalty(p).penalty, [0.0] * 7, 3) for p in programs]
+    assert all(compiled(p).ordered for p in programs)
+    w = Workload.of(items, absent=8)
+    for name in ("update_each", "update_counts"):
+        monkeypatch.setattr(Compiled, name, lambda self, *a: 1 / 0)
+    assert [judged(Columns(p, compiled(p), w.counted().keys), w, structural_penalty(p).penalty, [0.0] * 7, 3) for p in programs] == want
+    monkeypatch.setattr(Machine, "update", lambda self, e: 1 / 0)
+    assert [evaluate(p, w).err for p in programs] == [x.err for x in want]
+
+
+def test_columns_keep_every_digit():
+    """Numbers beyond 64 bits, residues of sums of digests, addresses and keys that depend on the state."""
+    w, trees = Workload.of(ITEMS, absent=8), Trees(random.Random(11))
+    for k in range(60):
+        parts = [trees.ramped(x, 3, 5) for x in ("init_dex", "update", "query")]
+        p = Program(parts[0] if k % 2 else MAIN.init.parse(SAFE["init_dex"]), *parts[1:])
+        want = judged(p.machine(), w, 0.0, [0.0] * 7, 2)
+        assert judged(Columns(p, compiled(p), w.counted().keys), w, 0.0, [0.0] * 7, 2) == want, p
+
+
 def test_failures_are_those_of_the_machine():
     p = PROGRAMS["triple"][1]
     args = p.query.args
